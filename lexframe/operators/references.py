@@ -14,7 +14,7 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexframe.operators.skew import hot_values, salted
+from lexframe.operators.skew import hot_values, repeated, salts_for
 
 MATCHES = ("simple", "partial", "full")
 
@@ -29,13 +29,13 @@ def target_states(targets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def orphan_references(
-    refs: DataFrame, targets: DataFrame, keys: list[str], ids: list[str], skewed: str, match: str = "simple"
+    refs: DataFrame, targets: DataFrame, keys: list[str], ids: list[str], skewed: str, hot: list, match: str = "simple"
 ) -> DataFrame:
     """Unresolved references: the columns ``ids``, ``ref_date`` and ``reason``, one row per reference.
 
     refs: ``ids`` (what names a reference), ``keys``, ``ref_date``; rows with equal ``ids`` are
     deliveries of one reference, dated by the earliest. targets: ``keys``, ``deleted``, ``arrived``.
-    skewed: the key column that may hold hot values; they are salted.
+    skewed: the key column that may hold hot values. hot: those values (of ``hot_values``); they are salted.
 
     reason: ``missing`` (no target row), ``deleted`` (all target rows deleted), ``late`` (the first
     live row arrived after the reference).
@@ -54,7 +54,7 @@ def orphan_references(
         present = [k for k, null in zip(keys, mask) if not null]
         if present:
             same_mask = reduce(and_, [F.col(k).isNull() if null else F.col(k).isNotNull() for k, null in zip(keys, mask)])
-            parts.append(_anti(refs.where(same_mask), targets, present, ids, skewed))
+            parts.append(_anti(refs.where(same_mask), targets, present, ids, skewed, hot))
     if match == "full":  # every mask with some null and some not is a violation by itself
         some, every = (reduce(op, [F.col(k).isNull() for k in keys]) for op in (or_, and_))
         parts.append(refs.where(some & ~every).select(*ids, "ref_date", F.lit("missing").alias("reason")))
@@ -64,31 +64,28 @@ def orphan_references(
     return first.select(*ids, "_f.ref_date", "_f.reason")
 
 
-def _anti(group: DataFrame, targets: DataFrame, present: list[str], ids: list[str], skewed: str) -> DataFrame:
+def _anti(group: DataFrame, targets: DataFrame, present: list[str], ids: list[str], skewed: str, hot: list) -> DataFrame:
     """References whose non-null columns match no live target of their time, with the reason."""
+    hot = hot if skewed in present else []
     states = target_states(targets, present).select(*[F.col(k).alias(f"_t_{k}") for k in present], "live_from", "known")
-    if skewed in present:
-        left, right = salted(group, states, skewed, f"_t_{skewed}", hot_values(group, skewed), ids)
-        right = right.withColumnRenamed("_salt", "_t_salt")
-        extra = [F.col("_salt") == F.col("_t_salt")]
-    else:
-        left, right, extra = group, states, []
-    same = [F.col(k) == F.col(f"_t_{k}") for k in present] + extra
+    right = repeated(states, f"_t_{skewed}", hot, "_t_salt")
+    left = group.withColumn("_salt", salts_for(skewed, hot, ids))
+    same = [F.col(k) == F.col(f"_t_{k}") for k in present] + ([F.col("_salt") == F.col("_t_salt")] if hot else [])
     on_time = F.col("live_from").isNotNull() & (F.col("ref_date").isNull() | (F.col("live_from") <= F.col("ref_date")))
     orphans = left.join(right, [*same, on_time], "left_anti")
     why = F.when(F.col("known").isNull(), "missing").when(F.col("live_from").isNull(), "deleted").otherwise("late")
     return orphans.join(right, same, "left").select(*ids, "ref_date", why.alias("reason"))
 
 
-def with_owner_pack(refs: DataFrame, entries: DataFrame, ids: list[str]) -> DataFrame:
+def with_owner_pack(refs: DataFrame, entries: DataFrame, ids: list[str], hot: list) -> DataFrame:
     """``refs`` with the ``pack_id`` of the entry named by ``entry_id`` (null if there is none).
 
-    Entries delivered again count once; hot entries are salted.
+    Entries delivered again count once. hot: the values of ``entry_id`` to salt.
     """
     owners = entries.where(F.col("entry_id").isNotNull()).groupBy(F.col("entry_id").alias("_owner")).agg(F.min("pack_id").alias("pack_id"))
-    left, right = salted(refs, owners, "entry_id", "_owner", hot_values(refs, "entry_id"), ids)
-    right = right.withColumnRenamed("_salt", "_t_salt")
-    return left.join(right, [F.col("entry_id") == F.col("_owner"), F.col("_salt") == F.col("_t_salt")], "left").drop("_owner", "_salt", "_t_salt")
+    right = repeated(owners, "_owner", hot, "_t_salt")
+    same = [F.col("entry_id") == F.col("_owner")] + ([F.col("_salt") == F.col("_t_salt")] if hot else [])
+    return refs.withColumn("_salt", salts_for("entry_id", hot, ids)).join(right, same, "left").drop("_owner", "_salt", "_t_salt")
 
 
 def lexical_orphans(entries: DataFrame, relations: DataFrame, media_refs: DataFrame, media: DataFrame) -> DataFrame:
@@ -103,7 +100,8 @@ def lexical_orphans(entries: DataFrame, relations: DataFrame, media_refs: DataFr
     rel = relations.where(F.col("target").isNotNull()).select(
         F.lit("relations").alias("ref_table"), F.col("entry_id").cast("string").alias("owner_id"), "ord", "entry_id", F.col("target").alias("headword"), F.col("loaded_at").alias("ref_date")
     )
-    rel = with_owner_pack(rel, entries, ids).select(*ids, "pack_id", "headword", "ref_date")
+    hot = hot_values(relations, ["entry_id", "target"])
+    rel = with_owner_pack(rel, entries, ids, hot["entry_id"]).select(*ids, "pack_id", "headword", "ref_date")
     see = entries.where(F.coalesce("see", F.lit("")) != "").select(
         F.lit("entries").alias("ref_table"), F.col("entry_id").cast("string").alias("owner_id"), F.lit(0).alias("ord"), "pack_id", F.col("see").alias("headword"), F.col("loaded_at").alias("ref_date")
     )
@@ -112,9 +110,10 @@ def lexical_orphans(entries: DataFrame, relations: DataFrame, media_refs: DataFr
     att = media_refs.where(F.col("hash").isNotNull()).select(
         F.lit("media_refs").alias("ref_table"), "owner_id", "ord", F.substring_index("owner_id", "/", 1).try_cast("bigint").alias("entry_id"), "kind", F.lower("hash").alias("hash"), F.col("loaded_at").alias("ref_date")
     )
-    att = with_owner_pack(att, entries, ids).select(*ids, "pack_id", "kind", "hash", "ref_date")
-    found = orphan_references(rel.unionByName(see), heads, ["pack_id", "headword"], ids, "headword", "full").unionByName(
-        orphan_references(att, assets, ["pack_id", "kind", "hash"], ids, "hash", "full")
+    hot_att = hot_values(att, ["entry_id", "hash"])
+    att = with_owner_pack(att, entries, ids, hot_att["entry_id"]).select(*ids, "pack_id", "kind", "hash", "ref_date")
+    found = orphan_references(rel.unionByName(see), heads, ["pack_id", "headword"], ids, "headword", hot["target"], "full").unionByName(
+        orphan_references(att, assets, ["pack_id", "kind", "hash"], ids, "hash", hot_att["hash"], "full")
     )
     return found.select(*ids, "reason", F.substring(F.col("ref_date").cast("string"), 1, 7).alias("period"))
 

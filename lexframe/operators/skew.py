@@ -1,49 +1,41 @@
 """Salting of hot join keys.
 
-``hot_values`` lists the values that hold more than ``1/limit`` of all rows; there are fewer than
-``limit`` of them whatever the size of the table, which is the bound that makes them safe to
-broadcast.  ``salted`` then spreads the rows of these values over ``salts`` sub-keys and repeats
-only the matching rows of the other side, so no task receives a hot key whole.
+``hot_values`` lists the values that hold more than ``1/limit`` of all rows; there are at most
+``limit`` of them whatever the size of the table, which is the bound that lets them into the plan
+as literals. ``salts_for`` then spreads the rows of these values over ``salts`` sub-keys and
+``repeated`` repeats only the matching rows of the other side, so no task receives a hot key whole
+and a join on the keys and the salt gives exactly the rows of the unsalted join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_LIMIT = 1000
-SALTS = 32
+HOT_LIMIT = 256
+SALTS = 256
 
 
-def hot_values(df: DataFrame, column: str, limit: int = HOT_LIMIT) -> DataFrame:
-    """Values of ``column`` with more than ``1/limit`` of the rows: one column, < ``limit`` rows.
+def hot_values(df: DataFrame, columns: list[str], limit: int = HOT_LIMIT) -> dict[str, list]:
+    """For each of ``columns``, its values with about more than ``1/limit`` of the rows; at most ``limit``.
 
-    Nulls are never hot (they join nothing). An empty table has no hot value.
+    One aggregation with bounded frequent-item sketches, whatever the number of distinct values; the
+    counts are approximate, which costs nothing in exactness, as any value may be salted. Nulls are
+    never hot (they join nothing); an empty table has no hot value.
     """
-    rows = df.where(F.col(column).isNotNull())
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * limit > total).select(column)
+    top = [F.expr(f"approx_top_k(`{c}`, {limit}, {limit * 40})").alias(f"_{n}") for n, c in enumerate(columns)]
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *top).collect()[0]
+    return {c: sorted(x["item"] for x in row[f"_{n}"] or [] if x["item"] is not None and x["count"] * limit > row["_rows"]) for n, c in enumerate(columns)}
 
 
-def salted(
-    many: DataFrame, few: DataFrame, column: str, few_column: str, hot: DataFrame, spread: list[str], salts: int = SALTS
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join with a column ``_salt`` to join on besides their keys.
+def salts_for(column: str, hot: list, spread: list[str], salts: int = SALTS) -> Column:
+    """The salt of a row on the side with hot keys: a hash of ``spread`` if it is hot, otherwise 0."""
+    return F.when(F.col(column).isin(hot), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int") if hot else F.lit(0)
 
-    ``many`` is the side with hot keys; its rows get a salt from a hash of ``spread`` if hot and 0
-    otherwise. ``few`` has its hot rows repeated once per salt. Joining on the keys and ``_salt``
-    gives exactly the rows of the unsalted join.
-    """
-    name = hot.columns[0]
-    h = F.broadcast(hot.select(F.col(name).alias("_hot")))
-    left = (
-        many.join(h, F.col(column) == F.col("_hot"), "left")
-        .withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-        .drop("_hot")
-    )
-    right = (
-        few.join(h, F.col(few_column) == F.col("_hot"), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0)))))
-        .drop("_hot")
-    )
-    return left, right
+
+def repeated(df: DataFrame, column: str, hot: list, name: str, salts: int = SALTS) -> DataFrame:
+    """``df`` with the salt column ``name``: hot rows once per salt, others once with 0."""
+    if not hot:
+        return df.withColumn(name, F.lit(0))
+    last = F.when(F.col(column).isin(hot), F.lit(salts - 1)).otherwise(F.lit(0))
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), last)))
