@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexframe.llm import cooccur, frequency, lookalike
-from lexframe.session import table
+from lexframe.llm import cooccur, frequency, lookalike, mixing, packing, tokens
+from lexframe.session import checkpointed, table
 
 
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
@@ -55,9 +55,43 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.members(_texts(spark, d)).where(F.col("text") != F.col("canonical"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a row number that is the same whenever a scan is repeated, and their tokens."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("row_id", F.monotonically_increasing_id())
+    return checkpointed(tokens.with_token_counts(docs, ["row_id", "doc_id", "source"]))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(spark, d)
+    out = packing.packed(sizes, table(spark, d, "capacities"), sizes.count())
+    return out.join(sizes.select("row_id", "doc_id"), "row_id").select("capacity_id", "container", "fill", "doc_id", "piece", "tokens")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(spark, d)
+    return packing.fill_report(packing.packed(sizes, table(spark, d, "capacities"), sizes.count()))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = _sizes(spark, d)
+    planned = mixing.plan(sizes, table(spark, d, "mix_targets"))
+    return sizes, planned, mixing.mixed(sizes, planned, sizes.count())
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    sizes, planned, chosen = _mix(spark, d)
+    reached = mixing.shares(chosen, planned).select("source", "target_share", "reached")
+    return chosen.join(sizes.select("row_id", "doc_id"), "row_id").join(F.broadcast(reached), "source").select("doc_id", "source", "tokens", "repeats", "target_share", "reached")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    _, planned, chosen = _mix(spark, d)
+    return mixing.shares(chosen, planned)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs,
-    "p5_found": p5_found, "p5_canonical": p5_canonical,
+    "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares,
 }
 
 _P1 = """
