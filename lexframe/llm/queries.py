@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexframe.llm import cooccur, frequency, lookalike, mixing, packing, tokens
+from lexframe.llm import cooccur, frequency, lookalike, mixing, packing, pii, tokens
 from lexframe.session import checkpointed, table
 
 
@@ -89,9 +89,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(chosen, planned)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents")).select("doc_id", "kind", "start_pos", "end_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
 
 _P1 = """
