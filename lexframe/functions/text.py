@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ MORPHEME_LABELS = {"prefix": "Prefix", "suffix": "Suffix", "root": "Root", "comb
 RELATION_LABELS = {"SYN": "Synonym", "ANT": "Antonym", "DER": "Derived"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def mapped(value: Column, table: dict[str, str], other: Column) -> Column:
     """The entry of a small fixed table, or ``other``."""
     return reduce(lambda acc, kv: acc.when(value == kv[0], kv[1]), list(table.items())[1:], F.when(value == next(iter(table)), table[next(iter(table))])).otherwise(other)
@@ -221,28 +227,35 @@ def word_spans(text: Column, word: Column, most: int = 8) -> Column:
     changes the length; a word boundary is any place without an ASCII letter or digit beside it.
     The search goes on after a hit, also a rejected one. Empty words and nulls have no hits.
     """
-    low, needle = fold(text), fold(word)
-    pieces = F.split(low, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), -1)
-    n = F.size(pieces)
-    start = F.transform(
-        F.sequence(F.lit(1), n - 1), lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * F.length(needle)
-    )
     plain = r"[A-Za-z0-9]"
-    ok = lambda s: ~F.substring(low, s, F.lit(1)).rlike(plain) | (s == 0)
-    hits = F.filter(start, lambda s: ok(s) & ~F.coalesce(F.substring(low, s + F.length(needle) + 1, F.lit(1)), F.lit("")).rlike(plain))
-    spans = F.transform(
-        hits,
-        lambda s: F.struct(
-            F.octet_length(F.substring(text, F.lit(1), s)).cast("bigint").alias("offset"),
-            F.octet_length(F.substring(text, s + 1, F.length(needle))).cast("bigint").alias("length"),
-        ),
-    )
-    return F.when((F.length(needle) > 0) & (n > 1), F.slice(spans, 1, most)).otherwise(F.array().cast("array<struct<offset:bigint,length:bigint>>"))
+    none = F.array().cast("array<struct<offset:bigint,length:bigint>>")
+
+    def spans(low: Column, needle: Column) -> Column:
+        size = F.length(needle)
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        # The pieces between hits give the starts of the hits by running sums.
+        walk = lambda acc, p: F.struct((acc["at"] + F.length(p) + size).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(p))).alias("starts"))
+        pieces = F.split(low, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), -1)
+        starts = F.aggregate(pieces, first, walk)["starts"]
+        inner = let(starts, lambda s: F.slice(s, F.lit(1), F.size(s) - 1))  # the last piece ends with no hit
+        free = lambda at: ~F.coalesce(F.substring(low, at, F.lit(1)), F.lit("")).rlike(plain)
+        hits = F.filter(inner, lambda s: ((s == 0) | free(s)) & free(s + size + 1))
+        span = lambda s: F.struct(
+            F.octet_length(F.substring(text, F.lit(1), s)).cast("bigint").alias("offset"), F.octet_length(F.substring(text, s + 1, size)).cast("bigint").alias("length")
+        )
+        return F.transform(F.slice(hits, 1, most), span)
+
+    found = let(fold(text), lambda low: let(fold(word), lambda needle: F.when(F.length(needle) > 0, spans(low, needle)).otherwise(none)))
+    return F.coalesce(found, none)
 
 
 def highlight_runs(text: Column, spans: Column) -> Column:
     """Alternating runs of a text as (text, marked): spans in UTF-8 bytes; invalid and overlapping ones are skipped."""
     total = F.octet_length(text).cast("bigint")
+    return let(spans, lambda own: _runs(text, own, total))
+
+
+def _runs(text: Column, spans: Column, total: Column) -> Column:
     good = F.array_sort(F.filter(spans, lambda s: (s["offset"] >= 0) & (s["length"] > 0) & (s["offset"] + s["length"] <= total)))
     kind = "struct<at:bigint,runs:array<struct<offset:bigint,length:bigint,marked:boolean>>>"
     run = lambda a, b, m: F.array(F.struct(a.alias("offset"), (b - a).alias("length"), F.lit(m).alias("marked")))
@@ -255,7 +268,7 @@ def highlight_runs(text: Column, spans: Column) -> Column:
     ).otherwise(acc)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<offset:bigint,length:bigint,marked:boolean>>").alias("runs")).cast(kind)
     walked = F.aggregate(good, start, step)
-    whole = F.concat(walked["runs"], run(walked["at"], total, False))
+    whole = let(walked, lambda w: F.concat(w["runs"], run(w["at"], total, False)))
     return F.transform(F.filter(whole, lambda r: r["length"] > 0), lambda r: F.struct(byte_slice(text, r["offset"], r["length"]).alias("text"), r["marked"].alias("marked")))
 
 
