@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.functions import text as T
-from lexframe.operators import flatten, graph, index, lookup, media, nest, quality, validate
+from lexframe.operators import crossword, flatten, graph, index, lookup, media, nest, quality, validate
 from lexframe.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,3 +622,55 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "entries").select(F.lit("entries").alias("name"), F.concat_ws("/", "pack_id", "headword").alias("key"), "entry_id").distinct().drop("entry_id")
     m = table(spark, d, "media").select(F.lit("media").alias("name"), F.concat_ws("/", "pack_id", "kind", F.sha1("bytes")).alias("key"))
     return e.unionByName(m).groupBy("name", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+# ---------------------------------------------------------------- packs, generation
+
+
+def documents_of(spark: SparkSession, d: str) -> DataFrame:
+    """ord, headword, body: the live entries of all packs as nested documents; headwords lead with their pack, to be unique."""
+    h = heads(spark, d).select("entry_id", F.concat_ws("/", "pack_id", "headword").alias("headword"), "see", F.col("entry_id").alias("ord"))
+    only = lambda name, *cols: once(spark, d, name).select("entry_id", *cols).distinct()
+    tags = only("entry_tags", "ord", "tag").where("tag IS NOT NULL").groupBy("entry_id").agg(nest.ordered("ord", "tag").alias("t"))
+    morph = only("morphology", "ord", "kind", "term").groupBy("entry_id").agg(nest.ordered("ord", "kind", F.coalesce("term", F.lit("")).alias("term")).alias("m"))
+    rel = only("relations", "ord", "type", "target").groupBy("entry_id").agg(nest.ordered("ord", "type", "target").alias("r"))
+    keys = ["entry_id", "ety_ord", "sense_ord"]
+    forms = once(spark, d, "forms").groupBy(*keys).agg(nest.ordered("ord", "form_id", "kind", F.coalesce("term", F.lit("")).alias("term"), "tags", "feats").alias("forms"))
+    senses = once(spark, d, "senses").join(forms, keys, "left").groupBy("entry_id", "ety_ord").agg(nest.ordered("sense_ord", "pos", "lemma", "tags", "forms").alias("senses"))
+    etys = senses.groupBy("entry_id").agg(nest.ordered("ety_ord", "senses").alias("etymologies"))
+    j = h.join(tags, "entry_id", "left").join(morph, "entry_id", "left").join(rel, "entry_id", "left").join(etys, "entry_id", "left")
+    body = F.to_json(F.struct("see", F.transform("t", lambda x: x["tag"]).alias("tags"), F.col("m").alias("morphology"), F.col("r").alias("relations"), "etymologies"))
+    return j.select("ord", "headword", body.alias("body"))
+
+
+@query(f"""WITH {_E}, n AS (SELECT pack_id || '/' || headword AS headword, l.entry_id FROM live l)
+SELECT n.headword, 'decoded' AS status, coalesce(t.k, 0) AS tags, coalesce(r.k, 0) AS relations, coalesce(f.k, 0) AS forms FROM n
+LEFT JOIN (SELECT entry_id, count(*) AS k FROM (SELECT DISTINCT entry_id, ord, tag FROM entry_tags WHERE tag IS NOT NULL) GROUP BY entry_id) t ON t.entry_id = n.entry_id
+LEFT JOIN (SELECT entry_id, count(*) AS k FROM (SELECT DISTINCT entry_id, ord FROM relations) GROUP BY entry_id) r ON r.entry_id = n.entry_id
+LEFT JOIN (SELECT f.entry_id, count(*) AS k FROM (SELECT DISTINCT entry_id, ety_ord, sense_ord, form_id FROM forms) f SEMI JOIN senses s ON s.entry_id = f.entry_id AND s.ety_ord = f.ety_ord AND s.sense_ord = f.sense_ord GROUP BY f.entry_id) f ON f.entry_id = n.entry_id""")
+def pack_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """All live entries written as one pack and read back through the data source."""
+    from lexframe.session import shared_folder
+    from lexframe.sources import pack
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.pack"
+    pack.write_pack(documents_of(spark, d), path, {"id": "all", "name": "All", "version": "1", "source_lang": "en", "target_langs": []})
+    pack.register(spark)
+    back = spark.read.format("lexpack").load(path)
+    size = lambda field: F.coalesce(F.size(F.from_json(F.get_json_object("body", f"$.{field}"), "array<string>")), F.lit(0)).cast("bigint").alias(field)
+    etys = F.from_json(F.get_json_object("body", "$.etymologies"), "array<struct<senses:array<struct<forms:array<string>>>>>")
+    forms = F.size(F.flatten(F.transform(F.flatten(F.transform(etys, lambda e: e["senses"])), lambda s: s["forms"])))
+    return back.select("headword", "status", size("tags"), size("relations"), F.coalesce(F.greatest(forms, F.lit(0)), F.lit(0)).cast("bigint").alias("forms"))
+
+
+@query()
+def crossword_puzzles(spark: SparkSession, d: str) -> DataFrame:
+    """The best of eight crosswords over the sampled words."""
+    words = quality.sample_words(heads(spark, d), table(spark, d, "senses"), n=60).select(F.col("headword").alias("word"), F.col("entry_id").cast("string").alias("clue"))
+    return crossword.best(crossword.puzzles(words, 8))
+
+
+@query()
+def crossword_sweep(spark: SparkSession, d: str) -> DataFrame:
+    words = quality.sample_words(heads(spark, d), table(spark, d, "senses"), n=60).select(F.col("headword").alias("word"), F.lit("").alias("clue"))
+    return crossword.sweep(words, [15, 30], 4)

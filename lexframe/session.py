@@ -12,14 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that lost executors lose no work.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (single-machine tests) a local one is chosen.
+    Only where that is unset (single-machine tests) a local one is chosen, once per context.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexframe-ckpt-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexframe-ckpt-"))
+    return sc.getCheckpointDir().removeprefix("file:").replace("///", "/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that lost executors lose no work."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
