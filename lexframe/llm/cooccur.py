@@ -132,7 +132,7 @@ def _tile_product(min_count: int, lift: int):  # noqa: ANN202
     return run
 
 
-def cooccurrences(baskets: DataFrame, min_count: int = 5, lift: int = 4, wide: int = WIDE) -> DataFrame:
+def cooccurrences(baskets: DataFrame, min_count: int = 5, lift: int = 4, wide: int = WIDE, tiles: int = TILES, record_blocks: int = RECORD_BLOCKS) -> DataFrame:
     """Pairs of items in at least ``min_count`` common records and at least ``lift`` times as often as by chance.
 
     baskets: field, record (bigint), item. Null and empty items and null records are left out, rows
@@ -148,9 +148,9 @@ def cooccurrences(baskets: DataFrame, min_count: int = 5, lift: int = 4, wide: i
     narrow = kept.join(broad, ["field", "record"], "left_anti").repartition("field", "record").sortWithinPartitions("field", "record").mapInArrow(_narrow, _PAIRS)
     tiled = (
         kept.join(broad, ["field", "record"], "left_semi")
-        .withColumn("tile", F.pmod(F.xxhash64("item"), F.lit(TILES)).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("record"), F.lit(RECORD_BLOCKS)).cast("int"))
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
+        .withColumn("tile", F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("record"), F.lit(record_blocks)).cast("int"))
+        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
         .withColumn("tile_i", F.least("tile", "_o"))
         .withColumn("tile_j", F.greatest("tile", "_o"))
     )
