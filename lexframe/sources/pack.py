@@ -74,7 +74,7 @@ class _Blocks(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, who: Identity) -> None:
         self.path, self.table, self.who = options["path"], options.get("table", "entries"), who
-        self.step, self.word = int(options.get("blocksPerTask", "16")), None
+        self.step, self.word = int(options.get("blocksPerTask", "4")), None
 
     def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
         for f in filters:
@@ -177,7 +177,9 @@ def write_pack(docs: DataFrame, path: str, meta: dict, media: DataFrame | None =
     and the directory of the file pass through the driver; entries pass in finished blocks.
     """
     who = who or Identity()
-    if docs.where(F.coalesce("headword", F.lit("")) == "").limit(1).count() or docs.groupBy("headword").count().where("count > 1").limit(1).count():
+    docs = checkpointed(docs.select("ord", "headword", "body"))  # read several times below
+    bad = docs.groupBy("headword").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.coalesce("headword", F.lit("")) == ""))
+    if not bad.isEmpty():
         raise Malformed("headwords must be non-empty and unique")
     values = docs.select("ord", "body").mapInArrow(_strings, "pool string, value string, ord bigint, n bigint")
     named = index.pools(values.select(F.lit("").alias("pack_id"), "pool", "value", F.struct("ord", "n").alias("at")))
@@ -205,18 +207,18 @@ def write_pack(docs: DataFrame, path: str, meta: dict, media: DataFrame | None =
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
         z.writestr("mimetype", who.mimetype)
         numbers: dict[tuple[int, int], int] = {}
-        for r in blocks.toLocalIterator():
+        for r in blocks.toLocalIterator(prefetchPartitions=True):
             numbers[r["segment"], r["block"]] = len(numbers)
             z.writestr(f"data/{len(numbers) - 1:05d}.zst", bytes(r["data"]))
         if not numbers:
             z.writestr("data/00000.zst", codec.compress(b"", level))
-        heads = [(r["headword"], numbers[r["segment"], r["block"]], r["at"], r["size"]) for r in full.select("ordinal", "headword", "segment", "block", "at", "size").orderBy("ordinal").toLocalIterator()]
+        heads = [(r["headword"], numbers[r["segment"], r["block"]], r["at"], r["size"]) for r in full.select("ordinal", "headword", "segment", "block", "at", "size").orderBy("ordinal").toLocalIterator(prefetchPartitions=True)]
         index_bytes = codec.encode_heads(heads, max(1, len(numbers)), who)
         z.writestr("index/headword.idx", index_bytes)
         z.writestr("index/strings.tbl", codec.encode_pools(pools, who))
         for member, lists, magic, key in (("index/tag.idx", tags, who.tags, lambda k: number["tag"][k]), ("index/morph.idx", feats, who.morph, str)):
             by: dict = {}
-            for r in lists.toLocalIterator():
+            for r in lists.toLocalIterator(prefetchPartitions=True):
                 by.setdefault(key(r["key"]), []).extend(r["ids"])
             if by:
                 z.writestr(member, codec.encode_postings(sorted(by.items()) if member.endswith("tag.idx") else sorted(by.items(), key=lambda kv: kv[0].encode()), magic))
@@ -225,7 +227,7 @@ def write_pack(docs: DataFrame, path: str, meta: dict, media: DataFrame | None =
         stored, entries = 0, []
         if media is not None:
             first = media.withColumn("hash", F.sha1("bytes")).groupBy("kind", "hash").agg(F.first(F.struct("ext", "mime", "compression", "bytes")).alias("a")).orderBy("kind", "hash")
-            for r in first.toLocalIterator():
+            for r in first.toLocalIterator(prefetchPartitions=True):
                 a = r["a"]
                 data = codec.compress(bytes(a["bytes"])) if a["compression"] == "zstd" else bytes(a["bytes"])
                 z.writestr(f"media/{r['kind']}/{r['hash'][:2]}/{r['hash']}.{a['ext']}", data)
