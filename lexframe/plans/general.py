@@ -60,7 +60,26 @@ found AS (
 orphans AS (SELECT ref_table, owner_id, ord, reason, strftime(d, '%Y-%m') AS period FROM found WHERE reason IS NOT NULL)
 """
 
+# The nodes of all bodies: raw_id, kind, path and the JSON of the node; the root has the kind "entry".
+NODES = """
+WITH RECURSIVE fields AS (SELECT * FROM (VALUES ('entry', 'etymologies', 'ety', 'e'), ('ety', 'senses', 'sense', 's'), ('sense', 'translations', 'translation', 't'), ('sense', 'definitions', NULL, 'd'), ('group', 'definitions', NULL, 'd'),
+ ('definition', 'examples', 'example', 'x'), ('definition', 'notes', 'note', 'n'), ('note', 'examples', 'example', 'x'), ('example', 'translations', 'translation', 't')) f(kind, field, child, step)),
+docs AS (SELECT raw_id, CAST(body AS JSON) AS j FROM (SELECT raw_id, arg_min(body, {'l': loaded_at, 'b': body}) AS body FROM raw_entries GROUP BY raw_id) WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+nodes AS (
+ SELECT raw_id, 'entry' AS kind, '' AS path, j FROM docs
+ UNION ALL
+ SELECT raw_id, CASE WHEN child IS NOT NULL THEN child WHEN json_exists(e, '$.Group') THEN 'group' WHEN json_exists(e, '$.Definition') THEN 'definition' WHEN json_exists(e, '$.definitions') THEN 'group' ELSE 'definition' END,
+  path || CASE WHEN path = '' THEN '' ELSE '/' END || step || i, CASE WHEN child IS NOT NULL THEN e ELSE coalesce(json_extract(e, '$.Group'), json_extract(e, '$.Definition'), e) END
+ FROM (SELECT raw_id, path, child, step, i, es[i + 1] AS e FROM (SELECT raw_id, path, child, step, es, unnest(range(len(es))) AS i
+  FROM (SELECT n.raw_id, n.path, f.child, f.step, CASE json_type(json_extract(n.j, '$.' || f.field)) WHEN 'ARRAY' THEN CAST(json_extract(n.j, '$.' || f.field) AS JSON[]) WHEN 'OBJECT' THEN [json_extract(n.j, '$.' || f.field)] ELSE [] END AS es FROM nodes n JOIN fields f ON f.kind = n.kind)))
+ WHERE json_type(e) = 'OBJECT' AND coalesce(json_type(json_extract(e, '$.Group')), json_type(json_extract(e, '$.Definition')), 'OBJECT') = 'OBJECT')
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": NODES + "SELECT raw_id, kind, path FROM nodes WHERE kind <> 'entry'",
+    "p3_senses": NODES
+    + r"""SELECT raw_id, path, regexp_replace(path, '/[^/]*$', '') AS parent_path, CAST(regexp_extract(path, '([0-9]+)$', 1) AS INTEGER) AS ordinal, j ->> '$.pos' AS pos, j ->> '$.lemma' AS lemma
+FROM nodes WHERE kind = 'sense'""",
     "p2_found": _P2 + "SELECT * FROM orphans",
     "p2_report": _P2
     + """SELECT ref_table, period, reason, n, CAST(sum(n) OVER (PARTITION BY ref_table, reason ORDER BY period) AS BIGINT) AS running

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexframe.functions import text as T
 from lexframe.operators import crossword, flatten, graph, index, lookup, media, nest, quality, validate
+from lexframe.plans.general import NODES
 from lexframe.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,32 +347,33 @@ def _translations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(NODES + "SELECT raw_id, path, j ->> '$.lang' AS lang, j ->> '$.value' AS value FROM nodes WHERE kind = 'translation' AND j ->> '$.lang' IN ('de', 'zh')")
 def target_lang_filter(spark: SparkSession, d: str) -> DataFrame:
     """Translations into the target languages; those without a language go."""
     return _translations(spark, d).where(F.col("lang").isin("de", "zh"))
 
 
-@query()
+@query(NODES + "SELECT raw_id, path, CASE WHEN regexp_matches(path, '(^|/)n[0-9]+/') THEN j ->> '$.lang' ELSE coalesce(j ->> '$.lang', 'en') END AS lang FROM nodes WHERE kind = 'translation'")
 def lang_fill(spark: SparkSession, d: str) -> DataFrame:
     """Translations without a language get the sole target; those of examples of notes don't."""
     note = F.col("path").rlike(r"(^|/)n\d+/")
     return _translations(spark, d).select("raw_id", "path", F.when(note, F.col("lang")).otherwise(F.coalesce("lang", F.lit("en"))).alias("lang"))
 
 
-@query()
+@query(NODES + "SELECT raw_id, coalesce(array_to_string(list_sort(list(DISTINCT j ->> '$.lang') FILTER (WHERE (j ->> '$.lang') IS NOT NULL)), ','), '') AS langs, count(DISTINCT j ->> '$.lang') > 1 AS labelled FROM nodes WHERE kind = 'translation' GROUP BY raw_id")
 def translation_langs(spark: SparkSession, d: str) -> DataFrame:
     return nest.languages(_translations(spark, d))
 
 
-@query()
+@query(NODES + "SELECT raw_id, CAST(row_number() OVER (PARTITION BY raw_id ORDER BY array_to_string(list_transform(string_split(path, '/'), lambda p: p[1] || lpad(p[2:], 9, '0')), '/')) AS INTEGER) AS n, j ->> '$.value' AS value FROM nodes WHERE kind = 'example'")
 def examples_in_order(spark: SparkSession, d: str) -> DataFrame:
     """The examples of each record in document order: raw_id, n (from 1), value."""
     ex = nest.in_order(nodes(spark, d, "raw_id", "path", "kind", "payload").where("kind = 'example'"))
     return ex.selectExpr("raw_id", "row_number() OVER (PARTITION BY raw_id ORDER BY place) AS n", "get_json_object(payload, '$.value') AS value")
 
 
-@query()
+@query(NODES + """SELECT d.raw_id, d.path, CASE WHEN EXISTS (SELECT 1 FROM nodes t WHERE t.raw_id = d.raw_id AND t.kind = 'translation' AND len(string_split(t.path, '/')) = 3 AND split_part(t.path, '/', 1) = split_part(d.path, '/', 1) AND split_part(t.path, '/', 2) = split_part(d.path, '/', 2))
+THEN '' ELSE d.j ->> '$.value' END AS value FROM nodes d WHERE d.kind = 'definition'""")
 def defs_mode(spark: SparkSession, d: str) -> DataFrame:
     """Definition texts, blank where the pack is bilingual: its sense has translations and definitions aren't kept."""
     n = nodes(spark, d, "raw_id", "path", "kind", "payload")
@@ -381,7 +383,8 @@ def defs_mode(spark: SparkSession, d: str) -> DataFrame:
     return defs.join(with_tr, ["raw_id", "sense"], "left").select("raw_id", "path", F.when(F.col("has"), "").otherwise(F.col("value")).alias("value"))
 
 
-@query()
+@query(NODES + """, own AS (SELECT raw_id, path FROM nodes WHERE kind = 'note' OR (kind = 'definition' AND coalesce(j ->> '$.value', '') <> ''))
+SELECT raw_id, path, EXISTS (SELECT 1 FROM own o WHERE o.raw_id = d.raw_id AND (o.path = d.path OR starts_with(o.path, d.path || '/'))) AS visible FROM nodes d WHERE kind IN ('definition', 'group')""")
 def def_visible(spark: SparkSession, d: str) -> DataFrame:
     return nest.visible_definitions(nodes(spark, d, "raw_id", "path", "kind", "payload"))
 
