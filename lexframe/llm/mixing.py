@@ -98,13 +98,13 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 def mixed(sizes: DataFrame, planned: DataFrame, rows: int, seed: int = 0, leaf: int = LEAF) -> DataFrame:
     """row_id, source, tokens, repeats (at least 1) of the chosen documents.
 
-    sizes: row_id (bigint, unique), source, tokens; rows: about how many. Documents of other sources
+    sizes: row_id (bigint, unique), source, tokens, other columns are ignored; rows: about how many. Documents of other sources
     or none, and documents without tokens, are not chosen. The result depends only on the rows and
     the seed, so lost tasks repeat it.
     """
     leaves = max(1, -(-rows // leaf))
     rates = planned.where(F.col("copies") > 0).select("source", "copies")  # bounded by the targets
-    start = sizes.where(F.col("tokens") > 0).join(F.broadcast(rates), "source").withColumn("whole", F.floor(F.col("copies") + EPS))
+    start = sizes.where(F.col("tokens") > 0).select("row_id", "source", "tokens").join(F.broadcast(rates), "source").withColumn("whole", F.floor(F.col("copies") + EPS))
     state = start.select("source", F.pmod(F.xxhash64("row_id"), F.lit(leaves)).alias("node"), "row_id", "tokens", F.greatest(F.lit(0.0), F.col("copies") - F.col("whole")).alias("p"))
     level, done = 0, None
     while True:

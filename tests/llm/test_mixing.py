@@ -3,7 +3,7 @@ import pytest
 
 from lexframe.llm import mixing as mx
 
-SIZES = "row_id bigint, source string, tokens bigint, extra int"
+SIZES = "row_id bigint, source string, tokens bigint, copies int"
 TARGETS = "source string, target_share double, max_repeats int"
 
 
