@@ -132,6 +132,18 @@ def pron_kind(source: Column, kind: Column) -> Column:
     return F.when((source == "en") & (kind == "ipa_uk"), "ipa").otherwise(kind)
 
 
+def created_at(text: Column | str) -> Column:
+    """The time of ``unix:<seconds>`` or of an RFC 3339 text; null for anything else."""
+    c = F.col(text) if isinstance(text, str) else text
+    seconds = F.regexp_extract(c, r"^unix:(\d{1,18})$", 1)
+    return F.when(c.startswith("unix:"), F.timestamp_seconds(F.nullif(seconds, F.lit("")).try_cast("bigint"))).otherwise(c.try_cast("timestamp"))
+
+
+def inherited_lang(own: Column, enclosing: Column, source: Column) -> Column:
+    """Language of a pronunciation: its own, that of the translation around it, or the source's."""
+    return F.coalesce(own, enclosing, source)
+
+
 def long_lang(lang: Column) -> Column:
     """The full tag of a short language code."""
     return mapped(lang, LANG_ALIASES, lang)

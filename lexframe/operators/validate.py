@@ -51,6 +51,28 @@ def media_rules(media: DataFrame) -> DataFrame:
     return _rule(media.where(~F.coalesce(F.col("kind").isin(*MEDIA_KINDS) & F.col("compression").isin(*COMPRESSIONS), F.lit(False))), "media kind or compression", "pack_id", "ord")
 
 
+def pack_rules(packs: DataFrame) -> DataFrame:
+    """Packs (id, name, source_lang) without one of these."""
+    return _rule(packs.where(F.greatest(*[(F.coalesce(c, F.lit("")) == "").cast("int") for c in ("id", "name", "source_lang")]) == 1), "pack without id, name or language", "id", "name")
+
+
+def pron_rules(prons: DataFrame) -> DataFrame:
+    """Pronunciations (owner_id, ord, value) without a value."""
+    return _rule(prons.where(F.coalesce("value", F.lit("")) == ""), "pronunciation without value", "owner_id", "ord")
+
+
+def translation_rules(translations: DataFrame, targets: int) -> DataFrame:
+    """Translations (owner_id, ord, lang) without a language, in packs of several target languages."""
+    return _rule(translations.where(F.coalesce("lang", F.lit("")) == "").where(F.lit(targets > 1)), "translation without language", "owner_id", "ord")
+
+
+def manifest_rules(man: DataFrame) -> DataFrame:
+    """Media manifest rows (kind, hash, compression) with a bad hash, or of a kind and hash that are there twice."""
+    bad = _rule(man.where(~F.coalesce(F.col("hash").rlike(r"^[0-9a-fA-F]{40}\z"), F.lit(False))), "media hash", "kind", "hash")
+    twice = man.groupBy("kind", F.lower("hash").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return bad.unionByName(_rule(twice, "media repeated", "kind", "hash"))
+
+
 def pool_rules(pool_rows: DataFrame) -> DataFrame:
     """Pools with more values than an index can number."""
     return _rule(pool_rows.groupBy("pack_id", "pool").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > POOL_LIMIT), "pool too large", "pack_id", "pool")

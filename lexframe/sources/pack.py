@@ -1,7 +1,7 @@
 """Packs: dictionaries in one file, as a Spark data source and sink.
 
 ``spark.read.format("lexpack").option("table", ...).load(path)`` reads the tables entries, heads,
-pools, postings, manifest and media; a read of entries is split by ranges of data blocks, and only
+pools, postings, manifest, media and members; a read of entries is split by ranges of data blocks, and only
 the blocks of a task are decompressed by it. ``write_pack`` encodes and compresses in parallel; the
 one file is put together from a stream of finished blocks.
 """
@@ -31,6 +31,7 @@ SCHEMAS = {
     "pools": "pool string, idx int, value string",
     "postings": "kind string, key string, ids array<bigint>",
     "manifest": "body string",
+    "members": "path string, bytes binary",
     "media": "path string, kind string, hash string, ext string, mime string, compression string, bytes binary",
 }
 
@@ -121,6 +122,8 @@ class _Reader(DataSourceReader):
                 if member in names:
                     for key, ids in codec.decode_postings(z.read(member), magic, kind == "tag") or ():
                         yield kind, pools["tag"][key - 1] if kind == "tag" else key, ids
+        elif self.table == "members":  # raw bytes: indexes, the cover, anything else
+            yield from ((name, z.read(name)) for name in z.namelist())
         elif self.table == "manifest":
             yield (json.dumps(m, ensure_ascii=False),)
         elif self.table == "media" and "media/manifest.json" in z.namelist():
@@ -168,7 +171,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["pool", "value", "ord", "n"])
 
 
-def write_pack(docs: DataFrame, path: str, meta: dict, media: DataFrame | None = None, who: Identity | None = None, block_max: int = 262_144, level: int = 3) -> None:
+def write_pack(docs: DataFrame, path: str, meta: dict, media: DataFrame | None = None, who: Identity | None = None, block_max: int = 262_144, level: int = 3, cover: bytes | None = None) -> None:
     """Writes one pack.
 
     docs: ord (bigint, the order of the source), headword, body (JSON of the fields of an entry). Headwords
@@ -216,6 +219,9 @@ def write_pack(docs: DataFrame, path: str, meta: dict, media: DataFrame | None =
         index_bytes = codec.encode_heads(heads, max(1, len(numbers)), who)
         z.writestr("index/headword.idx", index_bytes)
         z.writestr("index/strings.tbl", codec.encode_pools(pools, who))
+        if cover is not None:
+            meta = {"cover": "cover.png", **meta}
+            z.writestr(meta["cover"], cover)
         for member, lists, magic, key in (("index/tag.idx", tags, who.tags, lambda k: number["tag"][k]), ("index/morph.idx", feats, who.morph, str)):
             by: dict = {}
             for r in lists.toLocalIterator(prefetchPartitions=True):

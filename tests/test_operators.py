@@ -102,3 +102,14 @@ def test_crosswords_are_legal(spark):
             at = (r["x"] + i * (r["direction"] == "A"), r["y"] + i * (r["direction"] == "D"))
             assert min(at) >= 0 and grid.setdefault(at, c) == c
     assert {tuple(r) for r in p.collect()} == {tuple(r) for r in crossword.puzzles(df, 3, 6).collect()}
+
+
+def test_table_rules(spark):
+    rules = lambda df: sorted(r["rule"] for r in df.collect())
+    assert rules(validate.pack_rules(spark.createDataFrame([("a", "n", "en"), ("b", "", "en"), (None, "n", "en")], "id string, name string, source_lang string"))) == ["pack without id, name or language"] * 2
+    assert rules(validate.pron_rules(spark.createDataFrame([("a", 0, "x"), ("a", 1, None)], "owner_id string, ord int, value string"))) == ["pronunciation without value"]
+    tr = spark.createDataFrame([("a", 0, "de"), ("a", 1, None)], "owner_id string, ord int, lang string")
+    assert rules(validate.translation_rules(tr, 2)) == ["translation without language"] and rules(validate.translation_rules(tr, 1)) == []
+    man = spark.createDataFrame([("audio", "a3" * 20, "none"), ("audio", "A3" * 20, "none"), ("image", "xyz", "none")], "kind string, hash string, compression string")
+    assert rules(validate.manifest_rules(man)) == ["media hash", "media repeated"]
+    assert rules(validate.entry_rules(heads(spark, "a", "a", ""))) == ["headword empty", "headword repeated"]

@@ -74,7 +74,7 @@ def test_pack_file(spark, tmp_path):
     words = ["Apple", "apple", "banana", "zeta", "あ"]
     docs = spark.createDataFrame([(i, w, json.dumps(ENTRY | {"tags": [f"t{i % 2}"]})) for i, w in enumerate(words)], "ord bigint, headword string, body string")
     media = spark.createDataFrame([("audio", "mp3", "audio/mpeg", "zstd", b"FAKE" * 50), ("audio", "mp3", None, "none", b"FAKE" * 50), ("image", "png", "image/png", "none", b"P")], "kind string, ext string, mime string, compression string, bytes binary")
-    pack.write_pack(docs, path, {"id": "x", "name": "n"}, media, block_max=300)
+    pack.write_pack(docs, path, {"id": "x", "name": "n"}, media, block_max=300, cover=b"PNG")
     pack.register(spark)
     load = lambda t: spark.read.format("lexpack").option("table", t).option("blocksPerTask", "1").load(path)
     rows = load("entries").orderBy("ordinal").collect()
@@ -85,6 +85,7 @@ def test_pack_file(spark, tmp_path):
     assert tags == {"t0": [0, 2, 4], "t1": [1, 3]}
     assert {r["key"]: r["ids"] for r in load("postings").where("kind = 'morph'").collect()} == {"a=b": [0, 1, 2, 3, 4], "c=d": [0, 1, 2, 3, 4]}
     assert load("media").count() == 2 and all(r["hash"] == pack.digest(bytes(r["bytes"])) for r in load("media").collect())
+    assert bytes(load("members").where("path = 'cover.png'").collect()[0]["bytes"]) == b"PNG"
     assert load("pools").where("pool = 'tag' AND idx = 1").collect()[0]["value"] == "t0"
     assert json.loads(load("manifest").collect()[0]["body"])["index"]["entry_count"] == 5
 

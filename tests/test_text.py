@@ -111,3 +111,9 @@ def test_offsets_and_deltas(spark):
     df = spark.createDataFrame([([0, 5, 10, 20],), ([],)], "a array<bigint>").select("a", T.deltas(F.col("a")).alias("d"))
     rows = df.select("a", "d", T.undeltas(F.col("d")).alias("u")).collect()
     assert rows[0]["d"] == [0, 5, 5, 10] and all(r["u"] == r["a"] for r in rows)
+
+
+def test_times_and_languages(spark):
+    assert [str(x) for x in each(spark, T.created_at("s").cast("string"), ["unix:86400", "2024-01-02T03:04:05Z", "soon", None])] == ["1970-01-02 00:00:00", "2024-01-02 03:04:05", "None", "None"]
+    df = spark.createDataFrame([(None, None), (None, "zh"), ("ja", "zh")], "o string, e string")
+    assert [r[0] for r in df.select(T.inherited_lang(F.col("o"), F.col("e"), F.lit("en"))).collect()] == ["en", "zh", "ja"]
