@@ -9,7 +9,10 @@ are joined back to the texts. Case, accents, raised digits, hyphens and word lim
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,8 +38,8 @@ _UNSEEN = {c for r in UNSEEN for c in r}
 _SEEN = {c for r in SEEN_FORMATS for c in r}
 
 
-def _shape(cp: int) -> str:
-    """What one code point of a decomposed text looks like, decomposed."""
+def _shape(cp: int, letters: bool = True) -> str:
+    """What one code point of a decomposed text looks like, decomposed; without ``letters`` letters keep their script."""
     ch = chr(cp)
     kind = unicodedata.category(ch)
     if cp in _UNSEEN or (kind == "Cf" and cp not in _SEEN):
@@ -45,23 +48,27 @@ def _shape(cp: int) -> str:
         return " "
     if kind == "Cc":
         return ""
-    if ch in _BASE:
+    if ch in _BASE and (letters or not ch.isalpha() or kind == "Lm" and ch not in "ー"):
         return _BASE[ch]
     tag, _, rest = unicodedata.decomposition(ch).partition(" ")
     if tag in PLAIN_VARIANTS and cp not in _LONG_S and not rest.startswith("0020 "):
-        return "".join(_shape(ord(c)) for part in rest.split() for c in unicodedata.normalize("NFD", chr(int(part, 16))))
+        return "".join(_shape(ord(c), letters) for part in rest.split() for c in unicodedata.normalize("NFD", chr(int(part, 16))))
     return ch
 
 
 class _Shapes(dict):
     """The translation table, filled in as code points turn up."""
 
+    def __init__(self, letters: bool) -> None:
+        self.letters = letters
+
     def __missing__(self, cp: int) -> str:
-        self[cp] = out = _shape(cp)
+        self[cp] = out = _shape(cp, self.letters)
         return out
 
 
-_table = _Shapes()
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u3099\u309a])*")
+_table, _same_script = _Shapes(True), _Shapes(False)
 
 
 def look(text: str) -> str:
@@ -70,6 +77,61 @@ def look(text: str) -> str:
         out = text
     else:
         out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_table))
+    return _one_space(out)
+
+
+_GROUPS = {c: pair[0] + pair[2:] for pair in SHAPES.split() for c in pair[0] + pair[2:]}
+
+
+@cache
+def _script(ch: str) -> str:
+    """The script of a letter; empty for all else."""
+    return re.split("[ -]", unicodedata.name(ch, ""))[0] if ch.isalpha() else ""
+
+
+def _in_script(word: str, script: str) -> str | None:
+    """The word in letters of one script; None if a letter has no shape there."""
+    out = []
+    for ch in word:
+        of = _script(ch)
+        if script == "LATIN" and ch in _BASE and _script(_BASE[ch]) == script:
+            ch = _BASE[ch]
+        elif of not in ("", script):
+            ch = next((c for c in _GROUPS.get(ch, "") if _script(c) == script), "")
+            if not ch:
+                return None
+        out.append(ch)
+    return "".join(out)
+
+
+def _one_script(m: re.Match) -> str:
+    """A word in the one script that its letters allow, the one of most letters first; other words stay."""
+    word = m[0]
+    if word.isascii():
+        return word
+    count = Counter(s for s in map(_script, word) if s)
+    if len(count) < 2:
+        return (_in_script(word, "LATIN") or word) if "LATIN" in count else word
+    for script in sorted(count, key=lambda s: (-count[s], s != "LATIN", s)):
+        # Han and kana stand together in Japanese; only among more katakana is a sign that looks like one meant as one.
+        if script != "CJK" and not (script == "KATAKANA" and count[script] <= count["CJK"]) and (out := _in_script(word, script)) is not None:
+            return out
+    return word
+
+
+def tidy(text: str) -> str:
+    """The text without invisible characters, odd spaces, variants and letters borrowed from another script.
+
+    It keeps its look. Words wholly in one script stay in it, so that a Cyrillic word doesn't become a half Latin one.
+    """
+    if text.isascii() and text.isprintable():
+        return _one_space(text)
+    out = _WORD.sub(_one_script, unicodedata.normalize("NFD", text).translate(_same_script))
+    out = unicodedata.normalize("NFC", out)
+    return _one_space(out) if look(out) == look(text) else look(text)
+
+
+def _one_space(out: str) -> str:
     return out if "  " not in out and out[:1] != " " and out[-1:] != " " else " ".join(filter(None, out.split(" ")))
 
 
@@ -77,6 +139,10 @@ def _looks(texts: pd.Series) -> pd.Series:
     return texts.map(look, na_action="ignore")
 
 
+def _tidied(texts: pd.Series) -> pd.Series:
+    return texts.map(tidy, na_action="ignore")
+
+
 def look_of(text: Column | str) -> Column:
     """``look`` of a column; null stays null."""
     return F.pandas_udf(_looks, T.StringType())(text)
@@ -122,8 +188,24 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     return a.join(b, ["field", "scope", "canonical"]).where((F.col("id_a") < F.col("id_b")) & (F.col("text_a") != F.col("text_b"))).select("field", "id_a", "id_b").distinct()
 
 
+def changed_texts(texts: DataFrame) -> DataFrame:
+    """text, canonical: the texts that are not the one form of their look over all of ``texts``.
+
+    Field and scope play no part. The form is the tidied member that is its own look if there is
+    one, else the least by UTF-8 bytes; so it is tidy also where no member is, or only one text has the look.
+    """
+    spark = texts.sparkSession
+    known = texts.where(F.col("text").isNotNull()).select("text").distinct().select("text", look_of("text").alias("mapped"), F.pandas_udf(_tidied, T.StringType())("text").alias("tidied"))
+    return spark.sql(
+        """SELECT m.text AS text, c.canonical AS canonical
+           FROM (SELECT mapped COLLATE UNICODE AS look, min(struct(tidied <> mapped AS borrowed, tidied)).tidied AS canonical, collect_set(text) AS texts
+                 FROM {known} GROUP BY mapped COLLATE UNICODE) c LATERAL VIEW explode(texts) m AS text
+           WHERE m.text <> c.canonical""",
+        known=known,
+    )
+
+
 def canonical_texts(texts: DataFrame) -> DataFrame:
-    """``texts`` with the column ``canonical``: the canonical member of its class, or the text itself."""
-    known = members(texts).select("field", "scope", "id", "text", F.col("canonical").alias("_canonical"))
-    out = texts.join(known, ["field", "scope", "id", "text"], "left")
-    return out.withColumn("canonical", F.coalesce("_canonical", "text")).drop("_canonical")
+    """``texts`` with the column ``canonical``: the one form of its look over all of ``texts``."""
+    out = texts.join(changed_texts(texts).withColumnRenamed("canonical", "_canonical"), "text", "left")
+    return out.select(*texts.columns, F.coalesce("_canonical", "text").alias("canonical"))

@@ -52,7 +52,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.members(_texts(spark, d)).where(F.col("text") != F.col("canonical"))
+    texts = _texts(spark, d)
+    return texts.join(lookalike.changed_texts(texts), "text").select("field", "scope", "canonical", "id", "text").distinct()
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -45,3 +45,25 @@ def test_copies_give_no_pairs(spark):
     assert la.lookalike_pairs(frame(spark, [("f", "p", i, "copy") for i in range(2000)])).count() == 0
     assert la.lookalike_pairs(frame(spark, [])).count() == 0
     assert la.lookalike_pairs(frame(spark, [("f", "p", 1, "a" * 200_000), ("f", "p", 2, "а" * 200_000)])).count() == 1
+
+
+TIDY = [
+    ("ze​ro﻿", "zero"), ("ｗｉｄｅ", "wide"), ("e\u0301", "é"), ("rаn", "ran"), ("a  b ", "a b"), ("сор", "сор"), ("русcкий", "русский"),
+    ("夕クシー", "タクシー"), ("夕方", "夕方"), ("カ月", "カ月"), ("ɡo", "go"), ("Москва Moscow", "Москва Moscow"),
+]
+
+
+@pytest.mark.parametrize(("text", "form"), TIDY)
+def test_tidy(text, form):
+    assert la.tidy(text) == form
+
+
+@given(st.text(alphabet=st.sampled_from(list("aсоeрxнжタ夕クー力ɡ ​́１ﬁ한κĸʼ-İ"))))
+def test_tidy_keeps_the_look(text):
+    assert la.look(la.tidy(text)) == la.look(text) and la.tidy(la.tidy(text)) == la.tidy(text)
+
+
+def test_one_form_over_the_whole_column(spark):
+    rows = [("f", "p", 1, "ran"), ("f", "q", 2, "rаn"), ("g", "q", 3, "rаn​"), ("f", None, 4, "lo​ne"), ("f", "r", 5, "сор"), ("f", "r", 6, "x​"), ("f", "s", 7, "x­")]
+    canon = {r["id"]: r["canonical"] for r in la.canonical_texts(frame(spark, rows)).collect()}
+    assert canon == {1: "ran", 2: "ran", 3: "ran", 4: "lone", 5: "сор", 6: "x", 7: "x"}
