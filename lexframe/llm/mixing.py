@@ -76,8 +76,8 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     """One row per target source: source, target_share, share, max_repeats, documents, tokens, total, copies.
 
     ``share`` is the target share among the sources that have tokens; ``total`` the size of the mix,
-    by default the largest for which every such source reaches its share within ``max_repeats``;
-    ``copies`` the expected copies of each document, at most ``max_repeats``. Targets with a null
+    by default all tokens of these sources; ``copies`` the expected copies of each document, at most
+    ``max_repeats``: a source that would need more falls short of its share, and the mix of ``total``. Targets with a null
     source or share count as absent, repeated ones once.
     """
     by = sizes.where(F.col("tokens") > 0).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available"))
@@ -88,7 +88,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     share: Column = F.when(F.col("available") > 0, F.col("target_share") / live.agg(F.sum("target_share")).scalar()).otherwise(0.0)
     p = p.withColumn("share", share)
     if total_tokens is None:
-        most = p.where(F.col("available") > 0).agg(F.min(F.col("available") * F.col("max_repeats") / F.col("share"))).scalar()
+        most = live.agg(F.sum("available").cast("double")).scalar()
     else:
         most = F.lit(float(total_tokens))
     copies = F.when(F.col("available") > 0, F.least(F.col("max_repeats").cast("double"), F.col("total") * F.col("share") / F.col("available"))).otherwise(0.0)

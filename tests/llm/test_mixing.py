@@ -65,3 +65,12 @@ def test_empty(spark, frames):
     plan = mx.plan(none, frames[1])
     assert mx.mixed(none, plan, 0).count() == 0
     assert mx.shares(mx.mixed(none, plan, 0), plan).count() == 4
+
+
+def test_a_scarce_source_falls_short_and_shrinks_no_other(spark):
+    sizes = spark.createDataFrame([(i, "big" if i else "tiny", 20, 0) for i in range(1001)], SIZES)
+    targets = spark.createDataFrame([("big", 0.99, 2), ("tiny", 0.01, 2)], TARGETS)
+    plan = mx.plan(sizes, targets)
+    got = {r["source"]: r for r in mx.shares(mx.mixed(sizes, plan, 1001), plan).collect()}
+    assert got["tiny"]["tokens"] == 40 and got["tiny"]["reached"] < 0.003
+    assert abs(got["big"]["tokens"] - 0.99 * 20 * 1001) <= 20
