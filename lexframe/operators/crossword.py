@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The generator's and the sweep's own sizes.
+RESTARTS, SEEDS, POOLS = 30, 50, (2, 4, 6, 8, 10, 15, 20, 30, 50, 100, 300)
+TASKS = 110
 OUT = "seed int, number int, direction string, x int, y int, word string, clue string"
 
 
@@ -37,9 +41,9 @@ def _crossings(grid: dict, word: str, x: int, y: int, across: bool) -> int:
     return shared
 
 
-def layout(words: list[str], seed: int, target: int) -> list[tuple[str, int, int, bool]]:
-    """(word, x, y, across): longest words first with jitter, each where it crosses most."""
-    order = sorted(words, key=lambda w: (-len(w) - 4 * _noise(seed, w), w))
+def layout(words: list[str], seed: int, target: int, start: int = 0) -> list[tuple[str, int, int, bool]]:
+    """(word, x, y, across): longest words first with jitter, each where it crosses most; another for each start."""
+    order = sorted(words, key=lambda w: (-len(w) - 4 * _noise(seed, start, w), w))
     if not order:
         return []
     grid = dict(zip(_cells(order[0], 0, 0, True), order[0]))
@@ -51,32 +55,45 @@ def layout(words: list[str], seed: int, target: int) -> list[tuple[str, int, int
         for px, py, across, i, j in ((px, py, a, i, j) for p, px, py, a in out for i, c in enumerate(p) for j, w in enumerate(word) if c == w):
             x, y = (px + i, py - j) if across else (px - j, py + i)
             n = _crossings(grid, word, x, y, not across)
-            rank = (n, _noise(seed, word, x, y), x, y, not across)
-            if n > 0 and (best is None or rank > best):
-                best = rank
+            if n > 0 and (best is None or n >= best[0]):
+                rank = (n, _noise(seed, start, word, x, y), x, y, not across)
+                best = rank if best is None else max(best, rank)
         if best:
             out.append((word, best[2], best[3], best[4]))
             grid |= dict(zip(_cells(word, *best[2:]), word))
     return out
 
 
-def puzzles(words: DataFrame, seeds: int, target: int = 12) -> DataFrame:
-    """OUT: for each seed 0..seeds-1 a layout with numbered entries, coordinates from 0.
+def _area(placed: list[tuple[str, int, int, bool]]) -> int:
+    cells = [c for p in placed for c in _cells(*p)]
+    xs, ys = [x for x, _ in cells], [y for _, y in cells]
+    return (max(xs) - min(xs) + 1) * (max(ys) - min(ys) + 1)
+
+
+def generate(words: list[str], seed: int, target: int, restarts: int = RESTARTS) -> list[tuple[str, int, int, bool]]:
+    """The layout of most words, then least area, of several starts."""
+    out = [layout(words, seed, target, start) for start in range(restarts)] if words else []
+    return min(out, key=lambda p: (-len(p), _area(p)), default=[])
+
+
+def puzzles(words: DataFrame, seeds: int, target: int = 12, restarts: int = RESTARTS) -> DataFrame:
+    """OUT: for each seed 0..seeds-1 the best layout of ``restarts`` with numbered entries, coordinates from 0.
 
     words: word, clue; a list of a few hundred words, which goes to each seed's task whole.
     """
     clue = {r["word"]: r["clue"] for r in words.select("word", "clue").collect()}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(seeds_: pd.Series) -> pd.DataFrame:
         rows = []
-        for seed in pdf["id"]:
-            placed = layout(sorted(clue), int(seed), target)
+        for seed in seeds_:
+            placed = generate(sorted(clue), int(seed), target, restarts)
             x0, y0 = (min(p[k] for p in placed) for k in (1, 2)) if placed else (0, 0)
             starts = sorted({(y - y0, x - x0) for _, x, y, _ in placed})
             rows += [(int(seed), starts.index((y - y0, x - x0)) + 1, "A" if a else "D", x - x0, y - y0, w.upper(), clue[w]) for w, x, y, a in placed]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return words.sparkSession.range(0, seeds, 1, max(1, seeds)).groupBy("id").applyInPandas(one, OUT)
+    # A task per seed: the partitions of the range as they are, which no shuffle puts together.
+    return words.sparkSession.range(0, seeds, 1, max(1, seeds)).mapInPandas(lambda pdfs: (one(pdf["id"]) for pdf in pdfs), OUT)
 
 
 def best(p: DataFrame) -> DataFrame:
@@ -88,11 +105,23 @@ def best(p: DataFrame) -> DataFrame:
     return p.join(size.orderBy(F.desc("n"), "area", "seed").limit(1), "seed").drop("n", "area")
 
 
-def sweep(words: DataFrame, pools: list[int], seeds: int, target: int = 12) -> DataFrame:
-    """pool, seeds, words (on average), complete: how layouts fare with pools of the first n words."""
-    out = None
-    for n in pools:
-        per = puzzles(words.orderBy("word").limit(n), seeds, target).groupBy("seed").agg(F.count(F.lit(1)).alias("k"))
-        row = per.agg(F.lit(n).alias("pool"), F.count(F.lit(1)).alias("seeds"), F.round(F.avg("k"), 6).alias("words"), F.count_if(F.col("k") >= target).alias("complete"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def draws(words: DataFrame, size: int, seeds: int) -> DataFrame:
+    """seed, rank, word: for each seed the first ``size`` words in the order of a hash with the seed."""
+    drawn = words.select("word").distinct().crossJoin(F.broadcast(words.sparkSession.range(seeds).select(F.col("id").cast("int").alias("seed"))))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat(F.col("seed").cast("string"), F.lit("/"), "word")), "word"))
+    return drawn.withColumn("rank", rank).where(F.col("rank") <= size)
+
+
+def sweep(words: DataFrame, pools: tuple[int, ...] = POOLS, seeds: int = SEEDS, target: int = 12, restarts: int = RESTARTS) -> DataFrame:
+    """pool, seeds, words (on average), complete: how layouts fare with pools of n words, drawn anew for each seed."""
+    drawn = draws(words, max(pools), seeds).groupBy("seed").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("drawn"))
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            k = [len(generate(sorted(d[:pool]), int(seed), target, restarts)) for seed, pool, d in zip(pdf["seed"], pdf["pool"], pdf["drawn"])]
+            yield pd.DataFrame({"pool": pdf["pool"], "k": pd.Series(k, dtype="int64")})
+
+    each = drawn.select("seed", F.explode(F.array(*[F.lit(n) for n in pools])).alias("pool"), "drawn")
+    # The rows are few and small and the work on each is long, so the number of tasks is set.
+    per = each.repartition(min(len(pools) * seeds, TASKS)).mapInPandas(run, "pool int, k bigint")
+    return per.groupBy("pool").agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("k"), 6).alias("words"), F.count_if(F.col("k") >= target).alias("complete"))

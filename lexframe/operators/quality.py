@@ -52,8 +52,12 @@ def commonest(ranks: DataFrame, n: int) -> DataFrame:
     return ranks.orderBy("rank", "entry_id", "source").limit(n)
 
 
+def plain_words(heads: DataFrame, senses: DataFrame, low: int = 4, high: int = 9) -> DataFrame:
+    """All plain lower-case words with a sense: headword, entry_id."""
+    plain = heads.where(F.col("headword").rlike(r"^[a-z]+\z") & F.length("headword").between(low, high))
+    return plain.join(senses.select("entry_id").distinct(), "entry_id", "left_semi").groupBy("headword").agg(F.min("entry_id").alias("entry_id"))
+
+
 def sample_words(heads: DataFrame, senses: DataFrame, low: int = 4, high: int = 9, n: int = 300, seed: str = "0") -> DataFrame:
     """A random sample of plain lower-case words with a sense: headword, entry_id. The order is a hash with the seed, so it repeats."""
-    plain = heads.where(F.col("headword").rlike(r"^[a-z]+\z") & F.length("headword").between(low, high))
-    some = plain.join(senses.select("entry_id").distinct(), "entry_id", "left_semi").groupBy("headword").agg(F.min("entry_id").alias("entry_id"))
-    return some.orderBy(F.md5(F.concat(F.lit(seed), F.col("headword"))), "headword").limit(n)
+    return plain_words(heads, senses, low, high).orderBy(F.md5(F.concat(F.lit(seed), F.col("headword"))), "headword").limit(n)

@@ -668,12 +668,13 @@ def pack_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def crossword_puzzles(spark: SparkSession, d: str) -> DataFrame:
-    """The best of eight crosswords over the sampled words."""
-    words = quality.sample_words(heads(spark, d), table(spark, d, "senses"), n=60).select(F.col("headword").alias("word"), F.col("entry_id").cast("string").alias("clue"))
+    """The best of eight crosswords over the sampled words, each the best of 30 starts."""
+    words = quality.sample_words(heads(spark, d), table(spark, d, "senses")).select(F.col("headword").alias("word"), F.col("entry_id").cast("string").alias("clue"))
     return crossword.best(crossword.puzzles(words, 8))
 
 
 @query()
 def crossword_sweep(spark: SparkSession, d: str) -> DataFrame:
-    words = quality.sample_words(heads(spark, d), table(spark, d, "senses"), n=60).select(F.col("headword").alias("word"), F.lit("").alias("clue"))
-    return crossword.sweep(words, [15, 30], 4)
+    """How crosswords fare with pools of 2 to 300 words, drawn from all plain words with a sense by each of 50 seeds."""
+    words = quality.plain_words(heads(spark, d), table(spark, d, "senses")).select(F.col("headword").alias("word"))
+    return crossword.sweep(words)

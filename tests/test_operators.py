@@ -113,3 +113,20 @@ def test_table_rules(spark):
     man = spark.createDataFrame([("audio", "a3" * 20, "none"), ("audio", "A3" * 20, "none"), ("image", "xyz", "none")], "kind string, hash string, compression string")
     assert rules(validate.manifest_rules(man)) == ["media hash", "media repeated"]
     assert rules(validate.entry_rules(heads(spark, "a", "a", ""))) == ["headword empty", "headword repeated"]
+
+
+def test_crossword_sweep_is_whole(spark):
+    words = ["".join(chr(97 + (i * 7 + j * j * 3 + i // 26) % 26) for j in range(4 + i % 3)) for i in range(60)]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = {r["pool"]: r for r in crossword.sweep(df, restarts=2).collect()}
+    assert sorted(rows) == [2, 4, 6, 8, 10, 15, 20, 30, 50, 100, 300] and all(r["seeds"] == 50 for r in rows.values())
+    drawn = {}
+    for r in crossword.draws(df, 10, 5).collect():
+        drawn.setdefault(r["seed"], set()).add(r["word"])
+    assert all(len(d) == 10 for d in drawn.values()) and len(set(map(frozenset, drawn.values()))) == 5
+
+
+def test_restarts_keep_the_best_layout():
+    words = ["crane", "acorn", "ocean", "nacre", "rance", "caner"]
+    tries = [crossword.layout(words, 3, 6, n) for n in range(30)]
+    assert len(crossword.generate(words, 3, 6)) == max(map(len, tries)) and crossword.generate([], 3, 6) == []
