@@ -152,23 +152,22 @@ def flat_table(raw: DataFrame, kind: str) -> DataFrame:
     return found.select("raw_id", "path", "parent_path", "ordinal", *[F.get_json_object("payload", f"$.{c}").alias(c) for c in FLAT_FIELDS[kind]])
 
 
-def rebuild(roots_: DataFrame, bridge_: DataFrame, objects_: DataFrame, max_depth: int = 64) -> DataFrame:
+def rebuild(roots_: DataFrame, bridge_: DataFrame, objects_: DataFrame) -> DataFrame:
     """Occurrences from the three stored tables alone: raw_id, kind, path.
 
     The documents' identities are expanded level by level along the bridge, so the stored tables
-    lose nothing. Deeper levels than ``max_depth`` raise no error and end the expansion; the level
-    loop stops as soon as a level is empty.
+    lose nothing. The loop ends with the first empty level, which comes, as no object holds itself.
     """
     from lexframe.session import checkpointed
 
     kinds = objects_.select("node_id", "kind")
-    level, out = roots_.select("raw_id", F.col("node_id"), F.lit("").alias("path")), None
-    for _ in range(max_depth):
+    level, levels = roots_.select("raw_id", F.col("node_id"), F.lit("").alias("path")), []
+    while True:
         step = F.concat_ws("/", F.when(F.col("path") != "", F.col("path")), F.concat("step", F.col("ordinal").cast("string")))
         level = checkpointed(level.join(bridge_, level["node_id"] == bridge_["parent_id"]).select("raw_id", F.col("child_id").alias("node_id"), step.alias("path")))
-        if level.isEmpty():
+        if levels and level.isEmpty():
             break
-        out = level if out is None else out.unionByName(level)
-    if out is None:
-        out = level
-    return out.join(kinds, "node_id").select("raw_id", "kind", "path")
+        levels.append(level)
+    while len(levels) > 1:  # in pairs, so that the plan of many levels stays flat
+        levels = [a.unionByName(b) for a, b in zip(levels[::2], levels[1::2])] + levels[len(levels) & ~1 :]
+    return levels[0].join(kinds, "node_id").select("raw_id", "kind", "path")

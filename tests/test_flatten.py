@@ -92,3 +92,12 @@ def test_flat_tables(spark):
 
 def test_long_numbers_and_lone_surrogates(spark):
     assert found(spark, '{"etymologies":[{"root":"\\ud800","n":' + "9" * 6000 + "}]}") == {(0, "ety", "e0")}
+
+
+def test_rebuilding_has_no_deepest_level(spark):
+    group = {"definitions": [{"value": "v"}]}
+    for _ in range(70):
+        group = {"definitions": [{"Group": group}]}
+    raw = frame(spark, json.dumps({"etymologies": [{"senses": [group]}]}))
+    again = fl.rebuild(fl.roots(raw), fl.bridge(raw), fl.objects(raw))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in fl.flatten(raw, ("raw_id", "kind", "path")).collect()}
