@@ -152,6 +152,15 @@ def flat_table(raw: DataFrame, kind: str) -> DataFrame:
     return found.select("raw_id", "path", "parent_path", "ordinal", *[F.get_json_object("payload", f"$.{c}").alias(c) for c in FLAT_FIELDS[kind]])
 
 
+def stored(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """roots, bridge and the kinds of objects (node_id, kind) from one reading of the bodies."""
+    from lexframe.session import checkpointed
+
+    seen = checkpointed(flatten(raw, ("raw_id", "kind", "step", "ordinal", "node_id", "parent_id"), root=True))
+    links = seen.where("parent_id IS NOT NULL").select("parent_id", "step", "ordinal", F.col("node_id").alias("child_id")).distinct()
+    return seen.where("kind = 'entry'").select("raw_id", "node_id"), checkpointed(links), seen.select("node_id", "kind").distinct()
+
+
 def rebuild(roots_: DataFrame, bridge_: DataFrame, objects_: DataFrame) -> DataFrame:
     """Occurrences from the three stored tables alone: raw_id, kind, path.
 

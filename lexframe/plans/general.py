@@ -20,7 +20,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.flatten(table(spark, d, "raw_entries"), ("raw_id", "kind", "path"))
+    """Every occurrence, from the documents' identities along the bridge to the objects stored once."""
+    return flatten.rebuild(*flatten.stored(table(spark, d, "raw_entries")))
+
+
+def p3_roots(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.roots(table(spark, d, "raw_entries"))
 
 
 def p3_links(spark: SparkSession, d: str) -> DataFrame:
@@ -35,8 +40,14 @@ def p3_senses(spark: SparkSession, d: str) -> DataFrame:
     return flatten.flat_table(table(spark, d, "raw_entries"), "sense")
 
 
+def _flat(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: flatten.flat_table(table(spark, d, "raw_entries"), kind)
+
+
+FLAT_TABLES = {"etymologies": "ety", "translations": "translation", "definitions": "definition", "groups": "group", "examples": "example", "notes": "note"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_links": p3_links, "p3_objects": p3_objects, "p3_senses": p3_senses,
+    "p3_roots": p3_roots, **{f"p3_{name}": _flat(kind) for name, kind in FLAT_TABLES.items()},
 }
 
 _P2 = """

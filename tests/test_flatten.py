@@ -101,3 +101,16 @@ def test_rebuilding_has_no_deepest_level(spark):
     raw = frame(spark, json.dumps({"etymologies": [{"senses": [group]}]}))
     again = fl.rebuild(fl.roots(raw), fl.bridge(raw), fl.objects(raw))
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in fl.flatten(raw, ("raw_id", "kind", "path")).collect()}
+
+
+def test_found_comes_from_the_stored_tables_and_all_tables_have_a_query(spark, tmp_path, monkeypatch):
+    from lexframe.plans import general
+
+    raw = frame(spark, json.dumps(DOC), json.dumps(DOC), "{}", "[]")
+    raw.write.parquet(str(tmp_path / "raw_entries.parquet"))
+    want = sorted(tuple(r) for r in fl.flatten(raw, ("raw_id", "kind", "path")).collect())
+    assert {"p3_roots", *(f"p3_{n}" for n in general.FLAT_TABLES)} <= set(general.QUERIES)
+    assert {*general.FLAT_TABLES.values(), "sense"} == set(fl.KINDS)
+    used = []
+    monkeypatch.setattr(fl, "rebuild", lambda *a, kept=fl.rebuild: used.append(1) or kept(*a))
+    assert sorted(tuple(r) for r in general.p3_found(spark, str(tmp_path)).collect()) == want and used
