@@ -28,6 +28,12 @@ def hot_values(df: DataFrame, columns: list[str], limit: int = HOT_LIMIT) -> dic
     return {c: sorted(x["item"] for x in row[f"_{n}"] or [] if x["item"] is not None and x["count"] * limit > row["_rows"]) for n, c in enumerate(columns)}
 
 
+def hot_counts(counts: DataFrame, value: str, n: str, limit: int = HOT_LIMIT) -> list:
+    """The values that hold more than ``1/limit`` of all rows, from exact counts (one row a value); at most ``limit``."""
+    total = counts.agg(F.sum(n).alias("_all")).collect()[0]["_all"] or 0
+    return sorted(r[value] for r in counts.where(F.col(n) * limit > total).select(value).collect() if r[value] is not None)
+
+
 def salts_for(column: str, hot: list, spread: list[str], salts: int = SALTS) -> Column:
     """The salt of a row on the side with hot keys: a hash of ``spread`` if it is hot, otherwise 0."""
     return F.when(F.col(column).isin(hot), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int") if hot else F.lit(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,17 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one named in ``spark.checkpoint.dir``.
+    """The folder that all executors share: one of this application's own under the one named in ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a local one is chosen, once per context.
+    Only where that is unset and all runs on one machine (tests) a local one is chosen, once per
+    context; on a cluster it must be set. What is in it goes when the application ends.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexframe-ckpt-"))
-    return sc.getCheckpointDir().removeprefix("file:").replace("///", "/")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local") or named is None and sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexframe-ckpt-"))
+    at = sc.getCheckpointDir()
+    folder = sc._jvm.org.apache.hadoop.fs.Path(at)  # noqa: SLF001
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)  # noqa: SLF001
+    return at.removeprefix("file:").replace("///", "/") if at.startswith("file:") else at
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors lose no work."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read from there: smaller than a checkpoint, and columns are read singly."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
