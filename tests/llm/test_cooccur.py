@@ -3,6 +3,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexframe.llm import cooccur as co
@@ -41,32 +42,42 @@ def data(seed=3, baskets=400):
     return rows + rows[:50] + [("x", None, "t1-1", 0), ("x", 5, None, 0), ("x", 5, "", 0), ("x", 5, "é", 0)]
 
 
-@pytest.mark.parametrize("wide", [1000, 20, 3])
-def test_against_brute_force(spark, wide):
+@pytest.mark.parametrize("block", [1000, 20, 3])
+def test_against_brute_force(spark, block):
     rows = data()
-    got = co.cooccurrences(spark.createDataFrame(rows, SCHEMA), wide=wide, tiles=4, record_blocks=2)
+    got = co.cooccurrences(spark.createDataFrame(rows, SCHEMA), block_items=block)
     assert {(r["field"], r["item_a"], r["item_b"]): (r["n_a"], r["n_b"], r["m"], r["n_ab"]) for r in got.collect()} == brute(rows)
 
 
-def test_blocks_are_cut_between_baskets(spark, monkeypatch):
-    from lexframe.llm.cooccur import _narrow
-    import pyarrow as pa
-
-    rows = [("x", r, f"i{i}", 9, 99) for r in range(200) for i in range(r % 5)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7])], names=["field", "record", "item", "n", "m"]) for i in range(0, len(rows), 7)]
+def test_blocks_are_cut_between_baskets(monkeypatch):
+    rows = [("x", r, 0, 0, 0, i) for r in range(200) for i in range(r % 5)]
+    types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    names = ["field", "record", "block_a", "block_b", "block", "id"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + 7]), types)], names=names) for i in range(0, len(rows), 7)]
     monkeypatch.setattr(co, "BLOCK_ROWS", 50)
-    total = sum(sum(b.column("n_ab").to_pylist()) for b in _narrow(iter(batches)))
+    total = sum(sum(b.column("n").to_pylist()) for b in co._multiplied(iter(batches)))
     assert total == sum(k * (k - 1) // 2 for k in (r % 5 for r in range(200)))
 
 
-def test_gram_is_the_product():
+@pytest.mark.parametrize("products", [1, 7, 10**6])
+def test_products_of_sparse_blocks(monkeypatch, products):
+    monkeypatch.setattr(co, "PRODUCTS", products)
     rng = np.random.default_rng(1)
-    x = rng.random((60, 12)) < 0.3
-    record, item = np.nonzero(x)
-    shuffled = rng.permutation(len(record))
-    a, b, n = co.gram(record[shuffled], item[shuffled], 12)
+    x, y = rng.random((60, 12)) < 0.3, rng.random((60, 9)) < 0.2
+    a, b, n = co.product(*np.nonzero(x), *np.nonzero(y))
+    g = x.astype(int).T @ y.astype(int)
+    assert {(i, j): k for i, j, k in zip(a, b, n)} == {(i, j): g[i, j] for i in range(12) for j in range(9) if g[i, j]}
+    place, item = np.nonzero(x)
+    all_ = np.ones(len(place), bool)
+    a, b, n = co.gram(place, item * 10, all_, all_, True)
     g = x.astype(int).T @ x.astype(int)
-    assert {(i, j): k for i, j, k in zip(a, b, n)} == {(i, j): g[i, j] for i in range(12) for j in range(i + 1, 12) if g[i, j]}
+    assert {(i, j): k for i, j, k in zip(a, b, n)} == {(10 * i, 10 * j): g[i, j] for i in range(12) for j in range(i + 1, 12) if g[i, j]}
+
+
+def test_a_basket_with_a_third_of_all_rows(spark):
+    rows = [("x", 0, f"i{i:04d}", 0) for i in range(900)] + [("x", 1 + i // 3, f"i{(i // 3 % 150) * 3 + i % 3:04d}", 0) for i in range(1800)]
+    got = co.cooccurrences(spark.createDataFrame(rows, SCHEMA), min_count=3, block_items=100)
+    assert {(r["field"], r["item_a"], r["item_b"]): (r["n_a"], r["n_b"], r["m"], r["n_ab"]) for r in got.collect()} == brute(rows, 3)
 
 
 def test_empty(spark):
