@@ -20,20 +20,24 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every occurrence, from the documents' identities along the bridge to the objects stored once."""
-    return flatten.rebuild(*flatten.stored(table(spark, d, "raw_entries")))
+    """Every occurrence, from the identities of the documents along the bridge."""
+    return flatten.rebuild(*flatten.stored_tables(table(spark, d, "raw_entries")))
+
+
+def _hex(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in columns})
 
 
 def p3_roots(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.roots(table(spark, d, "raw_entries"))
+    return _hex(flatten.roots(table(spark, d, "raw_entries")), "node_id")
 
 
 def p3_links(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.bridge(table(spark, d, "raw_entries"))
+    return _hex(flatten.bridge(table(spark, d, "raw_entries")), "parent_id", "child_id")
 
 
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.objects(table(spark, d, "raw_entries"))
+    return _hex(flatten.objects(table(spark, d, "raw_entries")), "node_id")
 
 
 def p3_senses(spark: SparkSession, d: str) -> DataFrame:
