@@ -12,13 +12,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexframe.operators.skew import HOT_LIMIT, hot_values, repeated, salts_for
+from lexframe.session import stored
+
 # Letters of one shape, as "letter of the usual script: the others". Public knowledge of Unicode.
 SHAPES = (
     "a:аɑα b:Ьᖯ c:сϲⲥ d:ԁ e:еҽ g:ɡց h:һհ i:іι j:јϳյ l:ӏ n:ոռ o:оοօⲟ p:рρⲣ q:ԛզ s:ѕ u:սυ v:νѵ w:ԝ x:хχ y:у "
@@ -33,54 +37,9 @@ PLAIN_VARIANTS = ("<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>", "<ini
 SEEN_FORMATS = (range(0x600, 0x606), (0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD))
 UNSEEN = (range(0xFE00, 0xFE10), range(0xE0100, 0xE01F0), range(0x180B, 0x1810), (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0))
 _LONG_S = (0x17F, 0x1E9B)
-_BASE = {other: pair[0] for pair in SHAPES.split() for other in pair[2:]}
 _UNSEEN = {c for r in UNSEEN for c in r}
 _SEEN = {c for r in SEEN_FORMATS for c in r}
-
-
-def _shape(cp: int, letters: bool = True) -> str:
-    """What one code point of a decomposed text looks like, decomposed; without ``letters`` letters keep their script."""
-    ch = chr(cp)
-    kind = unicodedata.category(ch)
-    if cp in _UNSEEN or (kind == "Cf" and cp not in _SEEN):
-        return ""
-    if kind in ("Zs", "Zl", "Zp") or ch in "\t\n\v\f\r\x85":
-        return " "
-    if kind == "Cc":
-        return ""
-    if ch in _BASE and (letters or not ch.isalpha() or kind == "Lm" and ch not in "ー"):
-        return _BASE[ch]
-    tag, _, rest = unicodedata.decomposition(ch).partition(" ")
-    if tag in PLAIN_VARIANTS and cp not in _LONG_S and not rest.startswith("0020 "):
-        return "".join(_shape(ord(c), letters) for part in rest.split() for c in unicodedata.normalize("NFD", chr(int(part, 16))))
-    return ch
-
-
-class _Shapes(dict):
-    """The translation table, filled in as code points turn up."""
-
-    def __init__(self, letters: bool) -> None:
-        self.letters = letters
-
-    def __missing__(self, cp: int) -> str:
-        self[cp] = out = _shape(cp, self.letters)
-        return out
-
-
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u3099\u309a])*")
-_table, _same_script = _Shapes(True), _Shapes(False)
-
-
-def look(text: str) -> str:
-    """The look of a text: equal for texts that look the same, and a text of that look itself."""
-    if text.isascii() and text.isprintable():
-        out = text
-    else:
-        out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_table))
-    return _one_space(out)
-
-
-_GROUPS = {c: pair[0] + pair[2:] for pair in SHAPES.split() for c in pair[0] + pair[2:]}
 
 
 @cache
@@ -89,63 +48,151 @@ def _script(ch: str) -> str:
     return re.split("[ -]", unicodedata.name(ch, ""))[0] if ch.isalpha() else ""
 
 
-def _in_script(word: str, script: str) -> str | None:
-    """The word in letters of one script; None if a letter has no shape there."""
-    out = []
-    for ch in word:
-        of = _script(ch)
-        if script == "LATIN" and ch in _BASE and _script(_BASE[ch]) == script:
-            ch = _BASE[ch]
-        elif of not in ("", script):
-            ch = next((c for c in _GROUPS.get(ch, "") if _script(c) == script), "")
-            if not ch:
-                return None
-        out.append(ch)
-    return "".join(out)
-
-
-def _one_script(m: re.Match) -> str:
-    """A word in the one script that its letters allow, the one of most letters first; other words stay."""
-    word = m[0]
-    if word.isascii():
-        return word
-    count = Counter(s for s in map(_script, word) if s)
-    if len(count) < 2:
-        return (_in_script(word, "LATIN") or word) if "LATIN" in count else word
-    for script in sorted(count, key=lambda s: (-count[s], s != "LATIN", s)):
-        # Han and kana stand together in Japanese; only among more katakana is a sign that looks like one meant as one.
-        if script != "CJK" and not (script == "KATAKANA" and count[script] <= count["CJK"]) and (out := _in_script(word, script)) is not None:
-            return out
-    return word
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Letters that look like a letter of another script, from the public table of confusable characters that comes with Spark's ICU.
 
+    The table also joins what has to stay apart here, so a letter is left out where its partner is of
+    another case, raised, no letter, or where the class already has a letter of its script (as the
+    Greek class of "o" has omicron, sigma stays itself). Empty where the library isn't there.
+    """
+    try:
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()  # noqa: SLF001
+    except TypeError:
+        return {}
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if unicodedata.category(c)[0] == "L"]
+    members: dict[str, set[str]] = {}
+    base = {other: pair[0] for pair in SHAPES.split() for other in pair[2:]}
+    for other, usual in base.items():
+        members.setdefault(usual, {_script(usual)}).add(_script(other))
+    out: dict[str, str] = {}
+    for ch, like in zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")):
+        if like == "l" and ch.isupper():
+            like = "I"
+        if ch in base or len(like) != 1 or not like.isalpha() or ch == like or unicodedata.decomposition(ch) or ch.isupper() != like.isupper() or ch.islower() != like.islower():
+            continue
+        usual = base.get(like, like)
+        known = members.setdefault(usual, {_script(usual)})
+        if _script(ch) not in known:
+            known.add(_script(ch))
+            out[ch] = usual
+    return out
 
-def tidy(text: str) -> str:
-    """The text without invisible characters, odd spaces, variants and letters borrowed from another script.
 
-    It keeps its look. Words wholly in one script stay in it, so that a Cyrillic word doesn't become a half Latin one.
-    """
-    if text.isascii() and text.isprintable():
-        return _one_space(text)
-    out = _WORD.sub(_one_script, unicodedata.normalize("NFD", text).translate(_same_script))
-    out = unicodedata.normalize("NFC", out)
-    return _one_space(out) if look(out) == look(text) else look(text)
+class _Shapes(dict):
+    """The translation table, filled in as code points of decomposed texts turn up; without ``letters`` letters keep their script."""
+
+    def __init__(self, base: dict[str, str], letters: bool) -> None:
+        self.base, self.letters = base, letters
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = out = self.shape(cp)
+        return out
+
+    def shape(self, cp: int) -> str:
+        ch = chr(cp)
+        kind = unicodedata.category(ch)
+        if cp in _UNSEEN or (kind == "Cf" and cp not in _SEEN):
+            return ""
+        if kind in ("Zs", "Zl", "Zp") or ch in "\t\n\v\f\r\x85":
+            return " "
+        if kind == "Cc":
+            return ""
+        if ch in self.base and (self.letters or not ch.isalpha() or kind == "Lm" and ch not in "ー"):
+            return self.base[ch]
+        tag, _, rest = unicodedata.decomposition(ch).partition(" ")
+        if tag in PLAIN_VARIANTS and cp not in _LONG_S and not rest.startswith("0020 "):
+            return "".join(self.shape(ord(c)) for part in rest.split() for c in unicodedata.normalize("NFD", chr(int(part, 16))))
+        return ch
+
+
+class Looks:
+    """Looks and tidy forms of texts; ``more``: further letters of one shape (of ``confusables``)."""
+
+    def __init__(self, more: dict[str, str] | None = None) -> None:
+        self.base = {**(more or {}), **{other: pair[0] for pair in SHAPES.split() for other in pair[2:]}}
+        self.table, self.same_script = _Shapes(self.base, True), _Shapes(self.base, False)
+        groups: dict[str, str] = {}
+        for other, usual in self.base.items():
+            groups[usual] = groups.get(usual, usual) + other
+        self.groups = {c: g for g in groups.values() for c in g}
+
+    def look(self, text: str) -> str:
+        """The look of a text: equal for texts that look the same, and a text of that look itself."""
+        if text.isascii() and text.isprintable():
+            return _one_space(text)
+        return _one_space(unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(self.table)))
+
+    def tidy(self, text: str) -> str:
+        """The text without invisible characters, odd spaces, variants and letters borrowed from another script.
+
+        It keeps its look. Words wholly in one script stay in it, so that a Cyrillic word doesn't become a half Latin one.
+        """
+        if text.isascii() and text.isprintable():
+            return _one_space(text)
+        out = _WORD.sub(self._one_script, unicodedata.normalize("NFD", text).translate(self.same_script))
+        out = unicodedata.normalize("NFC", out)
+        return _one_space(out) if self.look(out) == self.look(text) else self.look(text)
+
+    def _in_script(self, word: str, script: str) -> str | None:
+        """The word in letters of one script; None if a letter has no shape there."""
+        out = []
+        for ch in word:
+            of = _script(ch)
+            if script == "LATIN" and ch in self.base and _script(self.base[ch]) == script:
+                ch = self.base[ch]
+            elif of not in ("", script):
+                ch = next((c for c in self.groups.get(ch, "") if _script(c) == script), "")
+                if not ch:
+                    return None
+            out.append(ch)
+        return "".join(out)
+
+    def _one_script(self, m: re.Match) -> str:
+        """A word in the one script that its letters allow, the one of most letters first; other words stay."""
+        word = m[0]
+        if word.isascii():
+            return word
+        count = Counter(s for s in map(_script, word) if s)
+        if len(count) < 2:
+            return (self._in_script(word, "LATIN") or word) if "LATIN" in count else word
+        for script in sorted(count, key=lambda s: (-count[s], s != "LATIN", s)):
+            # Han and kana stand together in Japanese; only among more katakana is a sign that looks like one meant as one.
+            if script != "CJK" and not (script == "KATAKANA" and count[script] <= count["CJK"]) and (out := self._in_script(word, script)) is not None:
+                return out
+        return word
 
 
 def _one_space(out: str) -> str:
     return out if "  " not in out and out[:1] != " " and out[-1:] != " " else " ".join(filter(None, out.split(" ")))
 
 
-def _looks(texts: pd.Series) -> pd.Series:
-    return texts.map(look, na_action="ignore")
+_plain = Looks()
+look, tidy = _plain.look, _plain.tidy
+
+
+def applied(text: str, of: Callable[[str], str]) -> Column:
+    """``of`` each text of a column; a text of printable ASCII with single spaces is its own look and doesn't leave the JVM."""
+    c = F.col(text)
+    odd = F.when(c.rlike(r"[^\x20-\x7e]|  |^ | \z"), c)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(of, na_action="ignore")
 
+    return F.coalesce(F.pandas_udf(run, T.StringType())(odd), c)
 
-def _tidied(texts: pd.Series) -> pd.Series:
-    return texts.map(tidy, na_action="ignore")
 
+def _mapped(texts: DataFrame) -> tuple[DataFrame, list]:
+    """field, scope, id, text, mapped of the texts that aren't null, and the looks that hold more than a 256th of them."""
+    looks = Looks(confusables(texts.sparkSession))
+    seen = Observation()
+    own = texts.where(F.col("text").isNotNull()).select("field", "scope", "id", "text", applied("text", looks.look).alias("mapped"))
+    table = stored(own.observe(seen, F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(mapped, {HOT_LIMIT}, {HOT_LIMIT * 40})").alias("top")))
+    m = seen.get
+    return table, [x["item"] for x in m.get("top") or [] if x["count"] * HOT_LIMIT > m["n"]]
 
-def look_of(text: Column | str) -> Column:
-    """``look`` of a column; null stays null."""
-    return F.pandas_udf(_looks, T.StringType())(text)
+
+_CLASSES = """SELECT field, scope, mapped COLLATE UNICODE AS look, min(struct(text <> mapped AS untidy, text)).text AS canonical, count(DISTINCT text) AS variants
+FROM {mapped} GROUP BY field, scope, mapped COLLATE UNICODE HAVING min(text) <> max(text)"""
 
 
 def classes(texts: DataFrame) -> DataFrame:
@@ -156,36 +203,43 @@ def classes(texts: DataFrame) -> DataFrame:
     UTF-8 bytes) and variants (number of different texts, at least 2). A class of one text, however
     often it is repeated, is left out.
     """
-    spark = texts.sparkSession
-    mapped = texts.where(F.col("text").isNotNull()).select("field", "scope", "text", look_of("text").alias("mapped"))
-    return spark.sql(
-        """SELECT field, scope, mapped COLLATE UNICODE AS look, min(struct(text <> mapped AS untidy, text)).text AS canonical, count(DISTINCT text) AS variants
-           FROM {mapped} GROUP BY field, scope, mapped COLLATE UNICODE HAVING min(text) <> max(text)""",
-        mapped=mapped,
-    )
+    return texts.sparkSession.sql(_CLASSES, mapped=_mapped(texts)[0])
 
 
 def members(texts: DataFrame) -> DataFrame:
-    """The texts of all classes joined back: field, scope, look, id, text, canonical; rows delivered again once."""
+    """The texts of all classes joined back: field, scope, id, text, canonical; rows delivered again once."""
+    mapped, hot = _mapped(texts)
     spark = texts.sparkSession
-    mapped = texts.where(F.col("text").isNotNull()).select("field", "scope", "id", "text", look_of("text").alias("mapped"))
+    mapped = mapped.withColumn("hot", _hot_only(hot))
+    named = spark.sql(_CLASSES.replace("AS variants", "AS variants, min(hot) AS hot"), mapped=mapped)
     return spark.sql(
         """SELECT DISTINCT t.field, t.scope, CAST(c.canonical AS STRING) AS canonical, t.id, t.text
-           FROM {mapped} t JOIN {classes} c ON t.field = c.field AND t.scope = c.scope AND t.mapped COLLATE UNICODE = c.look""",
-        mapped=mapped,
-        classes=classes(texts),
+           FROM {mapped} t JOIN {classes} c ON t.field = c.field AND t.scope = c.scope AND t.mapped COLLATE UNICODE = c.look AND t.salt = c.salt""",
+        mapped=mapped.withColumn("salt", salts_for("mapped", hot, ["id"])),
+        classes=repeated(named, "hot", hot, "salt"),
     )
 
 
+def _hot_only(hot: list) -> Column:
+    """The look if it is a hot one: a class is repeated for the salts if any of its looks is."""
+    return F.when(F.col("mapped").isin(hot), F.col("mapped")) if hot else F.lit(None).cast("string")
+
+
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
     """field, id_a < id_b: ids of one scope whose texts differ and look the same.
 
-    Only members of classes with different texts meet; copies of one text give no pairs.
+    Only different texts of a class meet; their ids are put in afterwards, so copies of one text never meet each other.
     """
-    m = members(texts)
-    a = m.select("field", "scope", "canonical", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    b = m.select("field", "scope", "canonical", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    return a.join(b, ["field", "scope", "canonical"]).where((F.col("id_a") < F.col("id_b")) & (F.col("text_a") != F.col("text_b"))).select("field", "id_a", "id_b").distinct()
+    m = stored(members(texts))
+    hot = hot_values(m, ["text"])["text"]
+    key = ["field", "scope", "canonical"]
+    t = m.select(*key, "text").distinct()
+    met = t.withColumnRenamed("text", "text_a").join(t.withColumnRenamed("text", "text_b"), key).where(F.col("text_a") < F.col("text_b"))
+    a = m.select(*key, F.col("text").alias("text_a"), F.col("id").alias("a")).withColumn("salt", salts_for("text_a", hot, ["a"]))
+    b = m.select(*key, F.col("text").alias("text_b"), F.col("id").alias("b")).withColumn("salt", salts_for("text_b", hot, ["b"]))
+    out = repeated(met, "text_a", hot, "salt").join(a, [*key, "text_a", "salt"]).drop("salt", "text_a")
+    out = repeated(out, "text_b", hot, "salt").join(b, [*key, "text_b", "salt"])
+    return out.where(F.col("a") != F.col("b")).select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 def changed_texts(texts: DataFrame) -> DataFrame:
@@ -195,14 +249,22 @@ def changed_texts(texts: DataFrame) -> DataFrame:
     one, else the least by UTF-8 bytes; so it is tidy also where no member is, or only one text has the look.
     """
     spark = texts.sparkSession
-    known = texts.where(F.col("text").isNotNull()).select("text").distinct().select("text", look_of("text").alias("mapped"), F.pandas_udf(_tidied, T.StringType())("text").alias("tidied"))
-    return spark.sql(
-        """SELECT m.text AS text, c.canonical AS canonical
-           FROM (SELECT mapped COLLATE UNICODE AS look, min(struct(tidied <> mapped AS borrowed, tidied)).tidied AS canonical, collect_set(text) AS texts
-                 FROM {known} GROUP BY mapped COLLATE UNICODE) c LATERAL VIEW explode(texts) m AS text
-           WHERE m.text <> c.canonical""",
+    looks = Looks(confusables(spark))
+    known = texts.where(F.col("text").isNotNull()).select("text").distinct().select("text", applied("text", looks.look).alias("mapped"), applied("text", looks.tidy).alias("tidied"))
+    known = stored(known)
+    hot = hot_values(known, ["mapped"])["mapped"]
+    known = known.withColumn("hot", _hot_only(hot))
+    named = spark.sql(
+        """SELECT mapped COLLATE UNICODE AS look, min(struct(tidied <> mapped AS borrowed, tidied)).tidied AS canonical, min(hot) AS hot
+           FROM {known} GROUP BY mapped COLLATE UNICODE HAVING min(text) <> max(text) OR min(text) <> min(struct(tidied <> mapped AS borrowed, tidied)).tidied""",
         known=known,
     )
+    return spark.sql(
+        """SELECT t.text AS text, CAST(c.canonical AS STRING) AS canonical FROM {known} t JOIN {classes} c ON t.mapped COLLATE UNICODE = c.look AND t.salt = c.salt
+           WHERE t.text <> c.canonical""",
+        known=known.withColumn("salt", salts_for("mapped", hot, ["text"])),
+        classes=repeated(named, "hot", hot, "salt"),
+    )
 
 
 def canonical_texts(texts: DataFrame) -> DataFrame:
