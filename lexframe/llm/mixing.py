@@ -22,6 +22,8 @@ from lexframe.session import checkpointed
 LEAF = 20_000
 FANOUT = 64
 EPS = 1e-9
+NO_ID = -(1 << 63)  # stands for a null id inside the operator
+SMALL = 10_000  # rows of a table of sources that may be broadcast
 _STATE = "source string, node bigint, row_id bigint, tokens bigint, p double, up boolean"
 
 
@@ -72,6 +74,11 @@ def _node(seed: int, level: int, root: bool):  # noqa: ANN202
     return run
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most SMALL rows; else the optimizer decides."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row per target source: source, target_share, share, max_repeats, documents, tokens, total, copies.
 
@@ -98,14 +105,14 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 def mixed(sizes: DataFrame, planned: DataFrame, rows: int, seed: int = 0, leaf: int = LEAF) -> DataFrame:
     """row_id, source, tokens, repeats (at least 1) of the chosen documents.
 
-    sizes: row_id (bigint, unique), source, tokens, other columns are ignored; rows: about how many. Documents of other sources
+    sizes: row_id (bigint), source, tokens, other columns are ignored; rows: about how many. Rows of one id or none are documents of their own. Documents of other sources
     or none, and documents without tokens, are not chosen. The result depends only on the rows and
     the seed, so lost tasks repeat it.
     """
     leaves = max(1, -(-rows // leaf))
-    rates = planned.where(F.col("copies") > 0).select("source", "copies")  # bounded by the targets
-    start = sizes.where(F.col("tokens") > 0).select("row_id", "source", "tokens").join(F.broadcast(rates), "source").withColumn("whole", F.floor(F.col("copies") + EPS))
-    state = start.select("source", F.pmod(F.xxhash64("row_id"), F.lit(leaves)).alias("node"), "row_id", "tokens", F.greatest(F.lit(0.0), F.col("copies") - F.col("whole")).alias("p"))
+    rates = small(planned.where(F.col("copies") > 0).select("source", "copies"))
+    start = sizes.where(F.col("tokens") > 0).select(F.coalesce("row_id", F.lit(NO_ID)).alias("row_id"), "source", "tokens").join(rates, "source").withColumn("whole", F.floor(F.col("copies") + EPS))
+    state = start.select("source", F.pmod(F.xxhash64("row_id", "tokens"), F.lit(leaves)).alias("node"), "row_id", "tokens", F.greatest(F.lit(0.0), F.col("copies") - F.col("whole")).alias("p"))
     level, done = 0, None
     while True:
         root = leaves == 1
@@ -117,7 +124,7 @@ def mixed(sizes: DataFrame, planned: DataFrame, rows: int, seed: int = 0, leaf:
         leaves, level = -(-leaves // FANOUT), level + 1
         state = out.where("up").select("source", F.floor(F.col("node") / FANOUT).alias("node"), "row_id", "tokens", "p")
     repeats = (F.floor(F.col("copies") + EPS) + F.col("p")).cast("int")
-    return done.join(F.broadcast(rates), "source").select("row_id", "source", "tokens", repeats.alias("repeats")).where(F.col("repeats") > 0)
+    return done.join(rates, "source").select(F.nullif("row_id", F.lit(NO_ID)).alias("row_id"), "source", "tokens", repeats.alias("repeats")).where(F.col("repeats") > 0)
 
 
 def shares(chosen: DataFrame, planned: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 POOL = 20_000
+NO_ID = -(1 << 63)  # stands for a null id inside the operator
 _OUT = "capacity_id int, max_tokens bigint, container bigint, fill bigint, row_id bigint, piece int, tokens bigint"
 
 
@@ -106,19 +107,20 @@ def _groups(sorted_values: np.ndarray) -> tuple[list, list, list]:
 def packed(sizes: DataFrame, capacities: DataFrame, rows: int, pool: int = POOL) -> DataFrame:
     """capacity_id, max_tokens, container, fill, row_id, piece, tokens: each text once per capacity.
 
-    sizes: row_id (bigint, unique) and tokens; rows: about how many rows it has. A text beyond the
+    sizes: row_id (bigint) and tokens; rows: about how many rows it has. Rows of one id or none are texts of their own. A text beyond the
     capacity is cut into pieces numbered from 0, all but the last full. Texts without tokens (null,
     empty) are in no container and give no row. capacities: capacity_id, max_tokens; null and
     non-positive capacities are left out, repeated rows count once. ``container`` is unique within a
     capacity (pool * 2^32 + number), ``fill`` the tokens of the whole container.
     """
     pools = max(1, -(-rows // pool))
-    dealt = sizes.where(F.col("tokens") > 0).select("row_id", F.col("tokens").cast("bigint").alias("tokens"), F.pmod(F.xxhash64("row_id"), F.lit(pools)).alias("pool"))
+    dealt = sizes.where(F.col("tokens") > 0).select(F.coalesce("row_id", F.lit(NO_ID)).alias("row_id"), F.col("tokens").cast("bigint").alias("tokens"), F.pmod(F.xxhash64("row_id", "tokens"), F.lit(pools)).alias("pool"))
     caps = capacities.where(F.col("max_tokens") > 0).select(F.col("capacity_id").cast("int").alias("capacity_id"), F.col("max_tokens").cast("bigint").alias("max_tokens")).distinct()
     # The capacities are a parameter table of a few rows; they go along as one array, so nothing is crossed.
     each = caps.agg(F.sort_array(F.collect_list(F.struct("capacity_id", "max_tokens"))).alias("c")).scalar()
     spread = dealt.select("row_id", "tokens", "pool", F.explode(each).alias("c")).select("row_id", "tokens", "pool", "c.capacity_id", "c.max_tokens")
-    return spread.groupBy("pool", "capacity_id", "max_tokens").applyInPandas(_pack, _OUT)
+    out = spread.groupBy("pool", "capacity_id", "max_tokens").applyInPandas(_pack, _OUT)
+    return out.withColumn("row_id", F.nullif("row_id", F.lit(NO_ID)))
 
 
 def fill_report(p: DataFrame) -> DataFrame:

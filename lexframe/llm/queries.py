@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.llm import cooccur, frequency, lookalike, mixing, packing, pii, tokens
-from lexframe.session import checkpointed, table
+from lexframe.session import stored, table
 
 
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
@@ -57,15 +57,15 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a row number that is the same whenever a scan is repeated, and their tokens."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("row_id", F.monotonically_increasing_id())
-    return checkpointed(tokens.with_token_counts(docs, ["row_id", "doc_id", "source"]))
+    """Documents with their tokens; ``doc_id`` names them, so the result doesn't depend on how the files are split."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "source", "text")
+    return stored(tokens.with_token_counts(docs, ["row_id", "source"]))
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = _sizes(spark, d)
     out = packing.packed(sizes, table(spark, d, "capacities"), sizes.count())
-    return out.join(sizes.select("row_id", "doc_id"), "row_id").select("capacity_id", "container", "fill", "doc_id", "piece", "tokens")
+    return out.select("capacity_id", "container", "fill", F.col("row_id").alias("doc_id"), "piece", "tokens")
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -73,34 +73,75 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.packed(sizes, table(spark, d, "capacities"), sizes.count()))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whatever breaks a rule of containers (there must be none), and what was packed: capacity_id, rule, n.
+
+    Every text with tokens is whole in one container, or cut where it exceeds the capacity; no container
+    holds more than its capacity; ``fill`` is what a container holds.
+    """
+    out = stored(p6_packed(spark, d)).join(table(spark, d, "capacities").distinct(), "capacity_id")
+    inside = out.groupBy("capacity_id", "max_tokens", "container").agg(F.sum("tokens").alias("held"), F.min("fill").alias("least"), F.max("fill").alias("most"))
+    text = out.groupBy("capacity_id", "max_tokens", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    cut = F.ceil(F.col("tokens") / F.col("max_tokens"))
+    rule = lambda df, name, cond: df.groupBy("capacity_id").agg(F.count_if(cond).alias("n")).select("capacity_id", F.lit(name).alias("rule"), "n")
+    return (
+        rule(inside, "over the capacity", F.col("held") > F.col("max_tokens"))
+        .unionByName(rule(inside, "fill not as held", (F.col("held") != F.col("least")) | (F.col("held") != F.col("most"))))
+        .unionByName(rule(text, "cut without need", F.col("pieces") != cut))
+        .unionByName(rule(text, "texts packed", F.lit(True)))
+    )
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = _sizes(spark, d)
     planned = mixing.plan(sizes, table(spark, d, "mix_targets"))
-    return sizes, planned, mixing.mixed(sizes, planned, sizes.count())
+    return planned, mixing.mixed(sizes, planned, sizes.count())
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    sizes, planned, chosen = _mix(spark, d)
+    planned, chosen = _mix(spark, d)
     reached = mixing.shares(chosen, planned).select("source", "target_share", "reached")
-    return chosen.join(sizes.select("row_id", "doc_id"), "row_id").join(F.broadcast(reached), "source").select("doc_id", "source", "tokens", "repeats", "target_share", "reached")
+    return chosen.join(mixing.small(reached), "source").select(F.col("row_id").alias("doc_id"), "source", "tokens", "repeats", "target_share", "reached")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    _, planned, chosen = _mix(spark, d)
+    planned, chosen = _mix(spark, d)
     return mixing.shares(chosen, planned)
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source what breaks a rule of the mix: source, too_often, foreign, twice, missed.
+
+    Documents repeated more often than allowed; chosen ones that are of another source; chosen twice; and whether a source
+    that could give its share misses it by more than its longest document.
+    """
+    planned, chosen = _mix(spark, d)
+    chosen, docs = stored(chosen), table(spark, d, "documents").select("doc_id", F.col("source").alias("own"))
+    joined = chosen.join(docs, chosen["row_id"] == docs["doc_id"]).join(planned.select("source", "max_repeats", "copies", "total", "share"), "source", "right")
+    by = joined.groupBy("source").agg(
+        F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"),
+        F.count_if(F.col("own") != F.col("source")).alias("foreign"),
+        (F.count("row_id") - F.countDistinct("row_id")).alias("twice"),
+        F.coalesce(F.sum(F.col("tokens") * F.col("repeats")), F.lit(0)).alias("used"), F.coalesce(F.max("tokens"), F.lit(0)).alias("longest"),
+        F.max("copies").alias("copies"), F.max("max_repeats").alias("most"), F.max(F.col("total") * F.col("share")).alias("wanted"),
+    )
+    return by.select("source", "too_often", "foreign", "twice", ((F.col("copies") < F.col("most")) & (F.abs(F.col("used") - F.col("wanted")) > F.col("longest") + 1)).alias("missed"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(table(spark, d, "documents")).select("doc_id", "kind", "start_pos", "end_pos")
+    docs = table(spark, d, "documents")
+    return pii.found(docs, pii.learn(docs)).select("doc_id", "kind", "start_pos", "end_pos")
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return pii.redacted(docs, pii.learn(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs,
-    "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_check": p6_check,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_check": p7_check,
     "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
 
@@ -128,5 +169,9 @@ SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT field, item, mark FROM marks WHERE mark IS NOT NULL",
     "p1_frequencies": _P1 + "SELECT field, item, occurrences, records, mark FROM marks",
     "p4_found": _P4 + "SELECT field, item_a, item_b FROM found",
+    # Tokens can't be counted in SQL, so p6 and p7 are held against the rules that any right result keeps.
+    "p6_check": """SELECT c.capacity_id, r.rule, CASE WHEN r.rule = 'texts packed' THEN (SELECT count(*) FROM documents WHERE text <> '') ELSE 0 END AS n
+FROM capacities c, (VALUES ('over the capacity'), ('fill not as held'), ('cut without need'), ('texts packed')) r(rule)""",
+    "p7_check": "SELECT DISTINCT source, CAST(0 AS BIGINT) AS too_often, CAST(0 AS BIGINT) AS \"foreign\", CAST(0 AS BIGINT) AS twice, false AS missed FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
     "p4_pairs": _P4 + "SELECT *, round(n_ab * m / (n_a * n_b), 6) AS lift FROM found",
 }
