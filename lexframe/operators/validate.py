@@ -85,6 +85,24 @@ def sortedness(numbered: DataFrame) -> DataFrame:
     return _rule(both.where(F.struct("fold", "headword") >= F.struct(F.col("_f").alias("fold"), F.col("_h").alias("headword"))), "not in order", "pack_id", "ordinal")
 
 
+def span_fault(value: str, targets: list[dict]) -> str | None:
+    """The rule that the targets of one example break, or None: the same rules as ``bad_spans``, for a text at hand."""
+    raw, end = value.encode(), 0
+    for target in targets:
+        if not target.get("spans"):
+            return "target without span"
+        for s in target["spans"]:
+            a, n = s["offset"], s["length"]
+            if n <= 0 or a < 0 or a + n > len(raw):
+                return "span out of range"
+            if any(x < len(raw) and raw[x] & 0xC0 == 0x80 for x in (a, a + n)):
+                return "span cuts a character"
+            if a < end:
+                return "spans overlap"
+            end = a + n
+    return None
+
+
 def bad_spans(examples: DataFrame) -> DataFrame:
     """Examples (key, value, targets) with a bad target: key, rule.
 

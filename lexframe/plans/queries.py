@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lexframe.functions import text as T
 from lexframe.operators import crossword, flatten, graph, index, lookup, media, nest, quality, validate
 from lexframe.plans.general import NODES
-from lexframe.session import table
+from lexframe.session import shared_folder, table
+from lexframe.sources import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -631,39 +632,100 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents_of(spark: SparkSession, d: str) -> DataFrame:
-    """ord, headword, body: the live entries of all packs as nested documents; headwords lead with their pack, to be unique."""
+    """ord, headword, body: the live entries of all packs as nested documents that keep the rules of a pack.
+
+    Headwords lead with their pack, to be unique; relations are sanitized; parts of speech outside the universal ones are absent.
+    """
     h = heads(spark, d).select("entry_id", F.concat_ws("/", "pack_id", "headword").alias("headword"), "see", F.col("entry_id").alias("ord"))
     only = lambda name, *cols: once(spark, d, name).select("entry_id", *cols).distinct()
     tags = only("entry_tags", "ord", "tag").where("tag IS NOT NULL").groupBy("entry_id").agg(nest.ordered("ord", "tag").alias("t"))
     morph = only("morphology", "ord", "kind", "term").groupBy("entry_id").agg(nest.ordered("ord", "kind", F.coalesce("term", F.lit("")).alias("term")).alias("m"))
-    rel = only("relations", "ord", "type", "target").groupBy("entry_id").agg(nest.ordered("ord", "type", "target").alias("r"))
+    sane = graph.sanitized(edges(spark, d), heads(spark, d))
+    rel = sane.groupBy(F.concat_ws("/", "pack_id", "src").alias("headword")).agg(nest.ordered("ord", "type", F.concat_ws("/", "pack_id", "dst").alias("target")).alias("r"))
     keys = ["entry_id", "ety_ord", "sense_ord"]
     forms = once(spark, d, "forms").groupBy(*keys).agg(nest.ordered("ord", "form_id", "kind", F.coalesce("term", F.lit("")).alias("term"), "tags", "feats").alias("forms"))
-    senses = once(spark, d, "senses").join(forms, keys, "left").groupBy("entry_id", "ety_ord").agg(nest.ordered("sense_ord", "pos", "lemma", "tags", "forms").alias("senses"))
-    etys = senses.groupBy("entry_id").agg(nest.ordered("ety_ord", "senses").alias("etymologies"))
-    j = h.join(tags, "entry_id", "left").join(morph, "entry_id", "left").join(rel, "entry_id", "left").join(etys, "entry_id", "left")
+    senses = once(spark, d, "senses").withColumn("pos", F.when(F.col("pos").isin(*T.UPOS), F.col("pos"))).join(forms, keys, "left")
+    etys = senses.groupBy("entry_id", "ety_ord").agg(nest.ordered("sense_ord", "pos", "lemma", "tags", "forms").alias("senses")).groupBy("entry_id").agg(nest.ordered("ety_ord", "senses").alias("etymologies"))
+    j = h.join(tags, "entry_id", "left").join(morph, "entry_id", "left").join(etys, "entry_id", "left").join(rel, "headword", "left")
     body = F.to_json(F.struct("see", F.transform("t", lambda x: x["tag"]).alias("tags"), F.col("m").alias("morphology"), F.col("r").alias("relations"), "etymologies"))
     return j.select("ord", "headword", body.alias("body"))
 
 
-@query(f"""WITH {_E}, n AS (SELECT pack_id || '/' || headword AS headword, l.entry_id FROM live l)
-SELECT n.headword, 'decoded' AS status, coalesce(t.k, 0) AS tags, coalesce(r.k, 0) AS relations, coalesce(f.k, 0) AS forms FROM n
-LEFT JOIN (SELECT entry_id, count(*) AS k FROM (SELECT DISTINCT entry_id, ord, tag FROM entry_tags WHERE tag IS NOT NULL) GROUP BY entry_id) t ON t.entry_id = n.entry_id
-LEFT JOIN (SELECT entry_id, count(*) AS k FROM (SELECT DISTINCT entry_id, ord FROM relations) GROUP BY entry_id) r ON r.entry_id = n.entry_id
-LEFT JOIN (SELECT f.entry_id, count(*) AS k FROM (SELECT DISTINCT entry_id, ety_ord, sense_ord, form_id FROM forms) f SEMI JOIN senses s ON s.entry_id = f.entry_id AND s.ety_ord = f.ety_ord AND s.sense_ord = f.sense_ord GROUP BY f.entry_id) f ON f.entry_id = n.entry_id""")
+def written_pack(spark: SparkSession, d: str, docs: DataFrame, with_media: bool = False) -> str:
+    """The path of a new pack of ``docs``, in as many files as there are tasks at a time."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    assets = table(spark, d, "media").select("ord", "kind", "ext", "mime", "compression", "bytes") if with_media else None
+    pack.write_pack(docs, path, {"id": "all", "name": "All", "version": "1", "source_lang": "en", "target_langs": []}, assets, shards=max(2, spark.sparkContext.defaultParallelism))
+    pack.register(spark)
+    return path
+
+
+@query(f"""WITH {_SANE}, n AS (SELECT pack_id, headword, pack_id || '/' || headword AS word, see, entry_id FROM live),
+t AS (SELECT entry_id, string_agg(tag, ',' ORDER BY ord, tag) AS x FROM (SELECT DISTINCT entry_id, ord, tag FROM entry_tags WHERE tag IS NOT NULL) GROUP BY entry_id),
+m AS (SELECT entry_id, string_agg(coalesce(kind, '-') || '=' || coalesce(term, ''), ',' ORDER BY ord, kind NULLS FIRST, term NULLS FIRST) AS x FROM (SELECT DISTINCT entry_id, ord, kind, term FROM morphology) GROUP BY entry_id),
+r AS (SELECT pack_id, src, string_agg(coalesce(type, '-') || '>' || pack_id || '/' || dst, ',' ORDER BY ord, type NULLS FIRST, dst) AS x FROM sane GROUP BY pack_id, src),
+f AS (SELECT entry_id, ety_ord, sense_ord, string_agg(coalesce(kind, '-') || ':' || coalesce(term, '') || ':' || coalesce(array_to_string(tags, '+'), '') || ':' || coalesce(feats, '-'), ',' ORDER BY ord, form_id) AS x
+ FROM (SELECT DISTINCT form_id, entry_id, ety_ord, sense_ord, ord, kind, term, tags, feats FROM forms) GROUP BY ALL),
+s AS (SELECT s.entry_id, string_agg(CASE WHEN pos IN ({", ".join(f"'{p}'" for p in T.UPOS)}) THEN pos ELSE '-' END || '/' || coalesce(lemma, '-') || '/' || coalesce(array_to_string(tags, '+'), '') || '(' || coalesce(f.x, '') || ')', ';' ORDER BY s.ety_ord, s.sense_ord) AS x
+ FROM (SELECT DISTINCT entry_id, ety_ord, sense_ord, pos, lemma, tags FROM senses) s LEFT JOIN f ON f.entry_id = s.entry_id AND f.ety_ord = s.ety_ord AND f.sense_ord = s.sense_ord GROUP BY s.entry_id)
+SELECT row_number() OVER (ORDER BY lower(word), word) - 1 AS ordinal, word AS headword, 'decoded' AS status,
+ md5(coalesce(see, '-') || '|' || coalesce(t.x, '') || '|' || coalesce(m.x, '') || '|' || coalesce(r.x, '') || '|' || coalesce(s.x, '')) AS body
+FROM n LEFT JOIN t ON t.entry_id = n.entry_id LEFT JOIN m ON m.entry_id = n.entry_id LEFT JOIN r ON r.pack_id = n.pack_id AND r.src = n.headword LEFT JOIN s ON s.entry_id = n.entry_id""")
 def pack_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """All live entries written as one pack and read back through the data source."""
-    from lexframe.session import shared_folder
-    from lexframe.sources import pack
+    """All live entries written as one pack and read back through the data source: a digest of everything in each."""
+    back = spark.read.format("lexpack").load(written_pack(spark, d, documents_of(spark, d)))
+    schema = (
+        "see string, tags array<string>, morphology array<struct<kind:string,term:string>>, relations array<struct<type:string,target:string>>, "
+        "etymologies array<struct<senses:array<struct<pos:string,lemma:string,tags:array<string>,forms:array<struct<kind:string,term:string,tags:array<string>,feats:string>>>>>>"
+    )
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    text = lambda c, f, sep=",": F.array_join(F.transform(c, f), sep)
+    form = lambda x: F.concat_ws(":", dash(x["kind"]), x["term"], F.array_join(x["tags"], "+"), dash(x["feats"]))
+    sense = lambda x: F.concat(F.concat_ws("/", dash(x["pos"]), dash(x["lemma"]), F.array_join(x["tags"], "+")), F.lit("("), text(x["forms"], form), F.lit(")"))
+    v = back.withColumn("v", F.from_json("body", schema)).select("ordinal", "headword", "status", "v.*")
+    parts = [dash(F.col("see")), F.array_join("tags", ","), text("morphology", lambda x: F.concat(dash(x["kind"]), F.lit("="), x["term"])), text("relations", lambda x: F.concat(dash(x["type"]), F.lit(">"), x["target"]))]
+    senses = text(F.flatten(F.transform("etymologies", lambda e: e["senses"])), sense, ";")
+    return v.select("ordinal", "headword", "status", F.md5(F.concat_ws("|", *parts, senses)).alias("body"))
 
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.pack"
-    pack.write_pack(documents_of(spark, d), path, {"id": "all", "name": "All", "version": "1", "source_lang": "en", "target_langs": []})
-    pack.register(spark)
-    back = spark.read.format("lexpack").load(path)
-    size = lambda field: F.coalesce(F.size(F.from_json(F.get_json_object("body", f"$.{field}"), "array<string>")), F.lit(0)).cast("bigint").alias(field)
-    etys = F.from_json(F.get_json_object("body", "$.etymologies"), "array<struct<senses:array<struct<forms:array<string>>>>>")
-    forms = F.size(F.flatten(F.transform(F.flatten(F.transform(etys, lambda e: e["senses"])), lambda s: s["forms"])))
-    return back.select("headword", "status", size("tags"), size("relations"), F.coalesce(F.greatest(forms, F.lit(0)), F.lit(0)).cast("bigint").alias("forms"))
+
+@query("""SELECT kind, hash, ext, coalesce(mime, '') AS mime, compression, size, true AS same FROM (SELECT kind, sha1(bytes) AS hash, ext, mime, compression, CAST(octet_length(bytes) AS BIGINT) AS size,
+row_number() OVER (PARTITION BY kind, sha1(bytes) ORDER BY ord, ext NULLS FIRST, mime NULLS FIRST, compression NULLS FIRST) AS n FROM media) WHERE n = 1""")
+def pack_media(spark: SparkSession, d: str) -> DataFrame:
+    """The assets of all packs written into one and read back; of equal contents the first counts."""
+    path = written_pack(spark, d, documents_of(spark, d).where("false"), True)
+    m = spark.read.format("lexpack").option("table", "media").load(path)
+    return m.select("kind", "hash", "ext", "mime", "compression", F.octet_length("bytes").cast("bigint").alias("size"), (F.sha1("bytes") == F.col("hash")).alias("same"))
+
+
+def plain_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The live headwords of all packs, each once, with tags only."""
+    tags = once(spark, d, "entry_tags").where("tag IS NOT NULL").groupBy("entry_id").agg(nest.ordered("ord", "tag").alias("t"))
+    h = heads(spark, d).join(tags, "entry_id", "left")
+    return h.select(F.col("entry_id").alias("ord"), F.concat_ws("/", "pack_id", "headword").alias("headword"), F.to_json(F.struct(F.transform("t", lambda x: x["tag"]).alias("tags"))).alias("body"))
+
+
+_ALL = _E + ", num AS (SELECT entry_id, pack_id || '/' || headword AS word, row_number() OVER (ORDER BY lower(pack_id || '/' || headword), pack_id || '/' || headword) - 1 AS ordinal FROM live)"
+
+
+@query(f"WITH {_ALL} SELECT word AS headword, ordinal FROM num")
+def pack_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The location scan of a written pack."""
+    return spark.read.format("lexpack").option("table", "heads").load(written_pack(spark, d, plain_documents(spark, d))).select("headword", "ordinal")
+
+
+@query(f"WITH {_ALL} SELECT t.tag AS key, n.ordinal AS id FROM (SELECT DISTINCT entry_id, tag FROM entry_tags WHERE tag IS NOT NULL) t JOIN num n ON n.entry_id = t.entry_id")
+def pack_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The tag index of a written pack, id by id."""
+    p = spark.read.format("lexpack").option("table", "postings").load(written_pack(spark, d, plain_documents(spark, d)))
+    return p.where("kind = 'tag'").select("key", F.explode("ids").alias("id"))
+
+
+@query(f"WITH {_E} SELECT count(*) AS entries, true AS versions, true AS verbatim FROM live")
+def pack_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The typed manifest of a written pack, held against the text it was read from."""
+    m = spark.read.format("lexpack").option("table", "manifest").load(written_pack(spark, d, plain_documents(spark, d)))
+    same = F.get_json_object("body", "$.index.entry_count").cast("bigint") == F.col("index.entry_count")
+    return m.agg(F.sum("index.entry_count").alias("entries"), F.bool_and(F.col("format_version").startswith("0.1.")).alias("versions"), F.bool_and(same).alias("verbatim"))
 
 
 @query()

@@ -8,6 +8,7 @@ length, numbers little-endian, varints canonical LEB128 (an overlong or oversize
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import zstandard
@@ -111,12 +112,32 @@ class Cursor:
             raise Malformed("text isn't UTF-8") from e
 
 
+# Per node what the loops below need of a layout: name, type, type of an element, flag bit, whether it is a list.
+_PLAN = {node: [(name, kind, kind.strip("[]"), bit, kind[0] == "[") for name, kind, bit in layout] for node, layout in LAYOUTS.items()}
+_KNOWN = {node: sum(1 << bit for _, _, bit in layout if bit >= 0) | (node == "morpheme") for node, layout in LAYOUTS.items()}
+Number = Callable[[str, str], int]
+
+
 def encode(node: str, value: dict, index: dict[str, dict[str, int]]) -> bytes:
     """The bytes of a node; index: per pool the 1-based number of each string (0 is written for others)."""
-    flags, body = 0, []
-    for name, kind, bit in LAYOUTS[node]:
+    out = bytearray()
+    _put(out, node, value, lambda pool, s: index[pool].get(s, 0), [])
+    return bytes(out)
+
+
+def encode_noting(value: dict, number: Number) -> tuple[bytearray, list[tuple[int, str]]]:
+    """The bytes of an entry, and (place, pool) of every number of a string in them; ``number`` is asked in stored order."""
+    out, refs = bytearray(), []
+    _put(out, "entry", value, number, refs)
+    return out, refs
+
+
+def _put(out: bytearray, node: str, value: dict, number: Number, refs: list, plan: list | None = None) -> None:
+    flags, at = 0, len(out)
+    if node not in BARE:
+        out.append(0)
+    for name, kind, inner, bit, listed in plan or _PLAN[node]:
         v = value.get(name)
-        listed = kind[0] == "["
         there = bool(v) if listed else v is not None
         if node == "morpheme" and name == "kind":
             flags |= there  # told by the flags, and written all the same
@@ -124,49 +145,71 @@ def encode(node: str, value: dict, index: dict[str, dict[str, int]]) -> bytes:
             if not there:
                 continue
             flags |= 1 << bit
-        if listed:
-            inner = kind[1:-1]
-            body.append(varint(len(v or ())))
-            body += [_one(inner, x, index) for x in v or ()]
+        if inner == "def":
+            _put_definitions(out, v or (), number, refs)
+        elif listed:
+            out += varint(len(v or ()))
+            for x in v or ():
+                _put_one(out, inner, x, number, refs)
         else:
-            body.append(_one(kind, v, index))
-    return (b"" if node in BARE else bytes([flags])) + b"".join(body)
+            _put_one(out, kind, v, number, refs)
+    if node not in BARE:
+        out[at] = flags
+
+
+def _put_definitions(out: bytearray, definitions: list, number: Number, refs: list) -> None:
+    """Definitions and groups of any depth, in stored order: the list of a group is its last field."""
+    out += varint(len(definitions))
+    stack = [iter(definitions)]
+    while stack:
+        d = next(stack[-1], None)
+        if d is None:
+            stack.pop()
+        elif "Group" in d:
+            out.append(1)
+            _put(out, "group", d["Group"], number, refs, _PLAN["group"][:-1])
+            inner = d["Group"].get("definitions") or ()
+            out += varint(len(inner))
+            stack.append(iter(inner))
+        else:
+            out.append(0)
+            _put(out, "definition", d["Definition"], number, refs)
 
 
-def _one(kind: str, v: object, index: dict[str, dict[str, int]]) -> bytes:
+def _put_one(out: bytearray, kind: str, v: object, number: Number, refs: list) -> None:
     if kind == "str":
-        return string(v or "")
-    if kind[0] == "@":
-        return struct.pack("<H", index[kind[1:]].get(v, 0) if v is not None else 0)
-    if kind == "varint":
-        return varint(v)
-    if kind == "kind":
-        return bytes([MEDIA_KINDS.index(v)])
-    if kind == "hash":
-        return bytes.fromhex(v)
-    if kind == "def":
-        name = "Group" if "Group" in v else "Definition"
-        return bytes([name == "Group"]) + encode(name.lower(), v[name], index)
-    return encode(kind, v, index)
+        out += string(v or "")
+    elif kind[0] == "@":
+        if v is not None:
+            refs.append((len(out), kind[1:]))
+        out += struct.pack("<H", number(kind[1:], v) if v is not None else 0)
+    elif kind == "varint":
+        out += varint(v)
+    elif kind == "kind":
+        out.append(MEDIA_KINDS.index(v))
+    elif kind == "hash":
+        out += bytes.fromhex(v)
+    else:
+        _put(out, kind, v, number, refs)
 
 
 def decode(node: str, c: Cursor, pools: dict[str, list[str]]) -> dict:
-    """A node read back; unknown flags raise Unknown, an index outside its pool Malformed."""
-    layout = LAYOUTS[node]
+    """A node read back; unknown flags raise Unknown, an index outside its pool Malformed. Groups may nest to any depth."""
+    return _get(node, c, pools, _PLAN[node])
+
+
+def _get(node: str, c: Cursor, pools: dict[str, list[str]], plan: list) -> dict:
     flags = 0 if node in BARE else c.number(1)
-    known = sum(1 << bit for _, _, bit in layout if bit >= 0) | (node == "morpheme")
-    if flags & ~known:
+    if flags & ~_KNOWN[node]:
         raise Unknown(f"unknown flags in {node}")
     out: dict = {}
-    for name, kind, bit in layout:
-        listed = kind[0] == "["
+    for name, kind, inner, bit, listed in plan:
         if bit >= 0 and not flags >> bit & 1:
             out[name] = [] if listed else None
+        elif inner == "def":
+            out[name] = _get_definitions(c, pools)
         elif listed:
-            n = c.varint()
-            if n > len(c.data):
-                raise Malformed("a list is longer than the data")
-            out[name] = [_read(kind[1:-1], c, pools) for _ in range(n)]
+            out[name] = [_read(inner, c, pools) for _ in range(_length(c))]
         else:
             out[name] = _read(kind, c, pools)
     if node == "morpheme" and not flags & 1:
@@ -174,6 +217,34 @@ def decode(node: str, c: Cursor, pools: dict[str, list[str]]) -> dict:
     return out
 
 
+def _length(c: Cursor) -> int:
+    n = c.varint()
+    if n > len(c.data) - c.at:
+        raise Malformed("a list is longer than the data")
+    return n
+
+
+def _get_definitions(c: Cursor, pools: dict[str, list[str]]) -> list:
+    top: list = []
+    stack: list[list] = [[_length(c), top]]  # how many are still to come, and where they go
+    while stack:
+        if not stack[-1][0]:
+            stack.pop()
+            continue
+        stack[-1][0] -= 1
+        into, k = stack[-1][1], c.number(1)
+        if k > 1:
+            raise Unknown(f"definition kind {k}")
+        if k:
+            group = _get("group", c, pools, _PLAN["group"][:-1])
+            group["definitions"] = []
+            into.append({"Group": group})
+            stack.append([_length(c), group["definitions"]])
+        else:
+            into.append({"Definition": decode("definition", c, pools)})
+    return top
+
+
 def _read(kind: str, c: Cursor, pools: dict[str, list[str]]) -> object:
     if kind == "str":
         return c.string()
@@ -191,28 +262,13 @@ def _read(kind: str, c: Cursor, pools: dict[str, list[str]]) -> object:
         return MEDIA_KINDS[k]
     if kind == "hash":
         return c.take(20).hex()
-    if kind == "def":
-        k = c.number(1)
-        if k > 1:
-            raise Unknown(f"definition kind {k}")
-        return {"Group": decode("group", c, pools)} if k else {"Definition": decode("definition", c, pools)}
     return decode(kind, c, pools)
 
 
 def strings_used(node: str, value: dict) -> list[tuple[str, str]]:
-    """(pool, string) of everything a node would refer to, in stored order; nothing is left out at any depth."""
+    """(pool, string) of everything a node refers to, in stored order; nothing is left out at any depth."""
     out: list[tuple[str, str]] = []
-    for name, kind, _ in LAYOUTS[node]:
-        v = value.get(name)
-        inner = kind.strip("[]")
-        for x in (v or ()) if kind[0] == "[" else (v,) if v is not None else ():
-            if inner[0] == "@":
-                out.append((inner[1:], x))
-            elif inner == "def":
-                key = "Group" if "Group" in x else "Definition"
-                out += strings_used(key.lower(), x[key])
-            elif inner in LAYOUTS:
-                out += strings_used(inner, x)
+    _put(bytearray(), node, value, lambda pool, s: out.append((pool, s)) or 0, [])
     return out
 
 
@@ -253,32 +309,101 @@ def encode_heads(locations: list[tuple[str, int, int, int]], data_blocks: int, w
     return header + b"".join(directory) + b"".join(firsts) + bytes(body)
 
 
+def fold(word: str) -> str:
+    """Lower case by single code points."""
+    return "".join(c.lower() for c in word)
+
+
+def sort_key(word: str) -> tuple[bytes, bytes]:
+    return fold(word).encode(), word.encode()
+
+
+class Heads:
+    """The headword index, read piece by piece: ``read(at, n)`` gives n bytes of it. Order and bounds are checked as they are read."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int, who: Identity) -> None:
+        self.read, self.size = read, size
+        c = Cursor(read(0, min(24, size)))
+        if c.take(4) != who.heads:
+            raise Malformed("no headword index")
+        version, pad, self.entries, self.groups, self.data_blocks, reserved = struct.unpack("<HHIIII", c.take(20))
+        if version != 1 or reserved or pad:
+            raise Malformed("no headword index of a known version")
+        if self.groups != -(-self.entries // FRONT_BLOCK) or 24 + 24 * self.groups > size:
+            raise Malformed("the index has another number of entries than it says")
+
+    def _directory(self, first: int, last: int) -> list[tuple[int, int, int, int]]:
+        """(length and place of the first headword, place and number of entries) of the groups first..last-1."""
+        data = self.read(24 + 24 * first, 24 * (last - first))
+        rows = []
+        for i in range(last - first):
+            length, pad, at, n, pool = struct.unpack_from("<HHQIQ", data, 24 * i)
+            low = 24 + 24 * self.groups
+            if pad or not low <= at <= self.size or not low <= pool or pool + length > self.size or not 0 < n <= FRONT_BLOCK:
+                raise Malformed("the directory points outside the index")
+            rows.append((length, pool, at, n))
+        if any(x[2] >= y[2] for x, y in zip(rows, rows[1:])):
+            raise Malformed("the directory isn't in order")
+        return rows
+
+    def first(self, group: int) -> str:
+        length, pool, _, _ = self._directory(group, group + 1)[0]
+        try:
+            return self.read(pool, length).decode()
+        except UnicodeDecodeError as e:
+            raise Malformed("a headword isn't UTF-8") from e
+
+    def group_of(self, word: str) -> int | None:
+        """The only group that can hold a headword; reads as many entries of the directory as it takes to halve it down."""
+        low, high, key = 0, self.groups, sort_key(word)
+        while low < high:
+            mid = (low + high) // 2
+            if sort_key(self.first(mid)) <= key:
+                low = mid + 1
+            else:
+                high = mid
+        return low - 1 if low else None
+
+    def rows(self, first: int, last: int) -> Iterator[tuple[int, str, int, int, int]]:
+        """(ordinal, headword, block, offset, size) of the groups first..last-1."""
+        if first >= last:
+            return
+        more = min(last + 1, self.groups)
+        groups = self._directory(first, more)
+        end = groups[last - first][2] if more > last else self.size
+        start = groups[0][2]
+        c = Cursor(self.read(start, end - start))
+        pool = self.read(groups[0][1], max(groups[-1][1] + groups[-1][0] - groups[0][1], 0))
+        firsts = [pool[at - groups[0][1] :][:length].decode(errors="replace") for length, at, _, _ in groups]
+        upper = sort_key(firsts[-1]) if more > last else None
+        before: tuple[bytes, bytes] | None = None
+        for g, (_, _, at, n) in enumerate(groups[: last - first]):
+            if c.at != at - start:
+                raise Malformed("a group doesn't begin where the directory says")
+            raw = b""
+            for i in range(n):
+                shared, rest = c.varint(), c.varint()
+                if shared > len(raw):
+                    raise Malformed("a headword shares more than there is")
+                raw = raw[:shared] + c.take(rest)
+                try:
+                    word = raw.decode()
+                except UnicodeDecodeError as e:
+                    raise Malformed("a headword isn't UTF-8") from e
+                key = sort_key(word)
+                if (before is not None and before >= key) or (upper is not None and key >= upper) or (i == 0 and word != firsts[g]):
+                    raise Malformed("the headwords aren't in order")
+                before = key
+                block = c.varint()
+                if block >= max(self.data_blocks, 1):
+                    raise Malformed("an entry is in a block that isn't there")
+                yield (first + g) * FRONT_BLOCK + i, word, block, c.varint(), c.varint()
+
+
 def decode_heads(data: bytes, who: Identity) -> tuple[list[tuple[str, int, int, int]], int]:
     """(headword, block, offset, size) in order, and the number of data blocks."""
-    c = Cursor(data)
-    if c.take(4) != who.heads:
-        raise Malformed("no headword index")
-    version, _, entries, blocks, data_blocks, reserved = struct.unpack("<HHIIII", c.take(20))
-    if version != 1 or reserved:
-        raise Malformed("no headword index of a known version")
-    out = []
-    for _ in range(blocks):
-        _, pad, at, n, _ = struct.unpack("<HHQIQ", c.take(24))
-        if pad or at > len(data):
-            raise Malformed("the directory points outside the index")
-        b, before = Cursor(data, at), b""
-        for _ in range(n):
-            shared, rest = b.varint(), b.varint()
-            if shared > len(before):
-                raise Malformed("a headword shares more than there is")
-            before = before[:shared] + b.take(rest)
-            try:
-                out.append((before.decode(), b.varint(), b.varint(), b.varint()))
-            except UnicodeDecodeError as e:
-                raise Malformed("a headword isn't UTF-8") from e
-    if len(out) != entries:
-        raise Malformed("the index has another number of entries than it says")
-    return out, data_blocks
+    h = Heads(lambda at, n: data[at : at + n], len(data), who)
+    return [r[1:] for r in h.rows(0, h.groups)], h.data_blocks
 
 
 def encode_postings(lists: list[tuple[int | str, list[int]]], magic: bytes) -> bytes:
