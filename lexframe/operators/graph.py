@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.operators.skew import repeated, salts_for
+
 SYMMETRIC = ("syn", "ant")
 
 
@@ -14,16 +16,21 @@ def edges(relations: DataFrame, heads: DataFrame) -> DataFrame:
     return once.join(heads.select("entry_id", "pack_id", F.col("headword").alias("src")), "entry_id").select("pack_id", "src", "type", F.col("target").alias("dst"), "ord")
 
 
-def dangling(e: DataFrame, heads: DataFrame) -> DataFrame:
+def _against(e: DataFrame, heads: DataFrame, how: str, hot: list) -> DataFrame:
+    """``e`` joined with the headwords that are its targets; hot: the targets to salt, as many edges share one."""
+    h = repeated(heads.select(F.col("pack_id").alias("_p"), F.col("headword").alias("_h")), "_h", hot, "_s")
+    on = (F.col("pack_id") == F.col("_p")) & (F.col("dst") == F.col("_h")) & (F.col("_salt") == F.col("_s"))
+    return e.withColumn("_salt", salts_for("dst", hot, ["src", "ord"])).join(h, on, how).drop("_salt")
+
+
+def dangling(e: DataFrame, heads: DataFrame, hot: list = ()) -> DataFrame:
     """Edges whose target is no headword of the pack."""
-    h = heads.select(F.col("pack_id").alias("_p"), F.col("headword").alias("_h"))
-    return e.join(h, (F.col("pack_id") == F.col("_p")) & (F.col("dst") == F.col("_h")), "left_anti")
+    return _against(e, heads, "left_anti", hot)
 
 
-def sanitized(e: DataFrame, heads: DataFrame) -> DataFrame:
+def sanitized(e: DataFrame, heads: DataFrame, hot: list = ()) -> DataFrame:
     """Edges without self-references, dangling and repeated ones; of repeated ones the first stays. A null type is a value."""
-    h = heads.select(F.col("pack_id").alias("_p"), F.col("headword").alias("_h"))
-    kept = e.where(F.col("src") != F.col("dst")).join(h, (F.col("pack_id") == F.col("_p")) & (F.col("dst") == F.col("_h")), "left_semi")
+    kept = _against(e.where(F.col("src") != F.col("dst")), heads, "left_semi", hot)
     return kept.groupBy("pack_id", "src", "type", "dst").agg(F.min("ord").alias("ord"))
 
 

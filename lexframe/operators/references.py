@@ -101,6 +101,7 @@ def lexical_orphans(entries: DataFrame, relations: DataFrame, media_refs: DataFr
         F.lit("relations").alias("ref_table"), F.col("entry_id").cast("string").alias("owner_id"), "ord", "entry_id", F.col("target").alias("headword"), F.col("loaded_at").alias("ref_date")
     )
     hot = hot_values(relations, ["entry_id", "target"])
+    hot["target"] = sorted({*hot["target"], *hot_values(entries.where(F.coalesce("see", F.lit("")) != ""), ["see"])["see"]})  # both are joined together
     rel = with_owner_pack(rel, entries, ids, hot["entry_id"]).select(*ids, "pack_id", "headword", "ref_date")
     see = entries.where(F.coalesce("see", F.lit("")) != "").select(
         F.lit("entries").alias("ref_table"), F.col("entry_id").cast("string").alias("owner_id"), F.lit(0).alias("ord"), "pack_id", F.col("see").alias("headword"), F.col("loaded_at").alias("ref_date")

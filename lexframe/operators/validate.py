@@ -30,13 +30,13 @@ def entry_rules(heads: DataFrame) -> DataFrame:
     ])
 
 
-def relation_rules(e: DataFrame, heads: DataFrame) -> DataFrame:
+def relation_rules(e: DataFrame, heads: DataFrame, hot: list = ()) -> DataFrame:
     """Empty targets, self-references, dangling and repeated edges; a null type is a value like others."""
     twice = e.groupBy("pack_id", "src", "type", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return reduce(DataFrame.unionByName, [
         _rule(e.where(F.coalesce("dst", F.lit("")) == ""), "relation without target", "pack_id", "src", "ord"),
         _rule(e.where(F.col("src") == F.col("dst")), "relation to itself", "pack_id", "src", "ord"),
-        _rule(graph.dangling(e.where(F.coalesce("dst", F.lit("")) != ""), heads), "relation dangling", "pack_id", "src", "ord"),
+        _rule(graph.dangling(e.where(F.coalesce("dst", F.lit("")) != ""), heads, hot), "relation dangling", "pack_id", "src", "ord"),
         _rule(twice, "relation repeated", "pack_id", "src", "type", "dst"),
     ])
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lexframe.functions import text as T
 from lexframe.operators import crossword, flatten, graph, index, lookup, media, nest, quality, validate
 from lexframe.plans.general import NODES
-from lexframe.session import shared_folder, table
+from lexframe.operators.skew import hot_values
+from lexframe.session import kept, shared_folder, stored, table
 from lexframe.sources import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,8 +36,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- tables
 
 
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    """The live entries with fold and ordinal, in order: the compiled headword index, stored once and read by every query."""
+    return kept(spark, d, "numbered", ("entries",), lambda: stored(index.ordinals(index.live(table(spark, d, "entries")))))
+
+
 def heads(spark: SparkSession, d: str) -> DataFrame:
-    return index.live(table(spark, d, "entries"))
+    return numbered(spark, d).drop("ordinal")
+
+
+def hot_targets(spark: SparkSession, d: str) -> list:
+    """Targets that many relations share."""
+    return kept(spark, d, "hot_targets", ("relations",), lambda: hot_values(table(spark, d, "relations"), ["target"])["target"])
 
 
 def once(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,7 +75,7 @@ EN = "5d0c7e1a-93b4-4c58-8f21-0a6be4d1c701"
 
 @query(f"WITH {_NUM} SELECT pack_id, headword, fold, CAST(ordinal AS BIGINT) AS ordinal FROM num")
 def list_headwords(spark: SparkSession, d: str) -> DataFrame:
-    return index.ordinals(heads(spark, d)).select("pack_id", "headword", "fold", "ordinal")
+    return numbered(spark, d).select("pack_id", "headword", "fold", "ordinal")
 
 
 @query(f"WITH {_E} SELECT pack_id, entry_id, headword FROM live WHERE headword = 'flasbrén'")
@@ -115,24 +126,24 @@ def see_followed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NUM} SELECT pack_id, entry_id, CAST(ordinal AS BIGINT) AS ordinal FROM num")
 def entry_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    return index.ordinals(heads(spark, d)).select("pack_id", "entry_id", "ordinal")
+    return numbered(spark, d).select("pack_id", "entry_id", "ordinal")
 
 
 @query(f"""WITH {_NUM}, prev AS (SELECT *, ordinal // 256 AS block, lag(headword) OVER (PARTITION BY pack_id, ordinal // 256 ORDER BY ordinal) AS p FROM num),
 n AS (SELECT *, CASE WHEN p IS NULL THEN 0 ELSE len(list_filter(range(1, CAST(least(strlen(p), strlen(headword)) AS BIGINT) + 1), lambda i: hex(encode(p))[1:2*i] = hex(encode(headword))[1:2*i])) END AS shared FROM prev)
 SELECT pack_id, CAST(block AS BIGINT) AS block, CAST(ordinal AS BIGINT) AS ordinal, CAST(shared AS INTEGER) AS shared, substr(hex(encode(headword)), 2 * CAST(shared AS BIGINT) + 1) AS suffix FROM n""")
 def front_coding(spark: SparkSession, d: str) -> DataFrame:
-    return index.front_coded(index.ordinals(heads(spark, d)))
+    return index.front_coded(numbered(spark, d))
 
 
 @query(f"WITH {_NUM} SELECT pack_id, CAST(ordinal AS BIGINT) AS ordinal, headword FROM num")
 def front_decoding(spark: SparkSession, d: str) -> DataFrame:
-    return index.front_decoded(index.front_coded(index.ordinals(heads(spark, d))))
+    return index.front_decoded(index.front_coded(numbered(spark, d)))
 
 
 @query(f"WITH {_NUM} SELECT pack_id, CAST(ordinal // 256 AS BIGINT) AS block, arg_min(headword, ordinal) AS first, count(*) AS entries FROM num GROUP BY pack_id, ordinal // 256")
 def index_directory(spark: SparkSession, d: str) -> DataFrame:
-    return index.directory(index.ordinals(heads(spark, d)))
+    return index.directory(numbered(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_NUM}, sized AS (SELECT pack_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(strlen(headword) AS BIGINT) AS size FROM num),
@@ -141,7 +152,7 @@ walk AS (SELECT pack_id, ordinal, size, CAST(0 AS BIGINT) AS block, CAST(0 AS BI
  CASE WHEN w."at" + w.size > 0 AND w."at" + w.size + s.size > 256 THEN 0 ELSE w."at" + w.size END FROM walk w JOIN sized s ON s.pack_id = w.pack_id AND s.ordinal = w.ordinal + 1)
 SELECT pack_id, CAST(0 AS BIGINT) AS segment, block, ordinal, "at", size FROM walk""")
 def block_packing(spark: SparkSession, d: str) -> DataFrame:
-    return index.packed_blocks(index.ordinals(heads(spark, d)).withColumn("size", F.octet_length("headword")), 256)
+    return index.packed_blocks(numbered(spark, d).withColumn("size", F.octet_length("headword")), 256)
 
 
 def _pools(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +190,7 @@ def strref_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 def _tag_postings(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "entry_tags").where("tag IS NOT NULL").select("entry_id", "tag")
-    return index.postings(t.join(index.ordinals(heads(spark, d)).select("entry_id", "pack_id", "ordinal"), "entry_id"), "tag")
+    return index.postings(t.join(numbered(spark, d).select("entry_id", "pack_id", "ordinal"), "entry_id"), "tag")
 
 
 _TAGP = _NUM + """, tp AS (SELECT n.pack_id, t.tag, n.ordinal // 65536 AS chunk, list_sort(list(DISTINCT n.ordinal)) AS ids
@@ -213,7 +224,7 @@ def feats_split(spark: SparkSession, d: str) -> DataFrame:
 SELECT n.pack_id, k.key, CAST(n.ordinal // 65536 AS BIGINT) AS chunk, array_to_string(list_sort(list(DISTINCT n.ordinal)), ',') AS ids FROM k JOIN num n ON n.entry_id = k.entry_id GROUP BY n.pack_id, k.key, n.ordinal // 65536""")
 def morph_postings(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "forms").select("entry_id", F.explode(T.feats("feats")).alias("key"))
-    p = index.postings(keys.join(index.ordinals(heads(spark, d)).select("entry_id", "pack_id", "ordinal"), "entry_id"), "key")
+    p = index.postings(keys.join(numbered(spark, d).select("entry_id", "pack_id", "ordinal"), "entry_id"), "key")
     return p.select("pack_id", "key", "chunk", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -234,14 +245,14 @@ def tags_and_or_not(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_NUM} SELECT e.pack_id, e.entry_id FROM num e JOIN (SELECT DISTINCT entry_id FROM entry_tags WHERE tag = 'level:C1') t ON t.entry_id = e.entry_id")
 def postings_to_entries(spark: SparkSession, d: str) -> DataFrame:
     """From the ordinals of a posting list back to entries."""
-    num = index.ordinals(heads(spark, d)).select("pack_id", "entry_id", "ordinal")
+    num = numbered(spark, d).select("pack_id", "entry_id", "ordinal")
     ids = _tag_postings(spark, d).where("tag = 'level:C1'").select("pack_id", F.explode("ids").alias("ordinal"))
     return ids.join(num, ["pack_id", "ordinal"]).select("pack_id", "entry_id")
 
 
 @query(f"WITH {_E} SELECT 'not in order' AS rule, '' AS key WHERE false")
 def sortedness(spark: SparkSession, d: str) -> DataFrame:
-    return validate.sortedness(index.ordinals(heads(spark, d)))
+    return validate.sortedness(numbered(spark, d))
 
 
 # ---------------------------------------------------------------- graph
@@ -254,7 +265,7 @@ def outgoing_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT e.pack_id, src, type, dst, ord FROM edges e ANTI JOIN live l ON l.pack_id = e.pack_id AND l.headword = e.dst")
 def relation_validate(spark: SparkSession, d: str) -> DataFrame:
-    return graph.dangling(edges(spark, d), heads(spark, d))
+    return graph.dangling(edges(spark, d), heads(spark, d), hot_targets(spark, d))
 
 
 _SANE = _EDGES + ", sane AS (SELECT e.pack_id, src, type, dst, min(e.ord) AS ord FROM edges e SEMI JOIN live l ON l.pack_id = e.pack_id AND l.headword = e.dst WHERE src <> dst GROUP BY e.pack_id, src, type, dst)"
@@ -262,13 +273,13 @@ _SANE = _EDGES + ", sane AS (SELECT e.pack_id, src, type, dst, min(e.ord) AS ord
 
 @query(f"WITH {_SANE} SELECT * FROM sane")
 def relation_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    return graph.sanitized(edges(spark, d), heads(spark, d))
+    return graph.sanitized(edges(spark, d), heads(spark, d), hot_targets(spark, d))
 
 
 @query(f"""WITH {_SANE} SELECT pack_id, src, type, dst, true AS authored FROM sane UNION ALL
 SELECT *, false FROM (SELECT DISTINCT pack_id, dst AS src, type, src AS dst FROM sane WHERE type IN ('syn', 'ant') EXCEPT SELECT pack_id, src, type, dst FROM sane)""")
 def symmetric_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.with_reverse(graph.sanitized(edges(spark, d), heads(spark, d)))
+    return graph.with_reverse(graph.sanitized(edges(spark, d), heads(spark, d), hot_targets(spark, d)))
 
 
 _WORDS = "w AS (SELECT DISTINCT pack_id, headword AS phrase, unnest(string_split(headword, ' ')) AS word FROM live WHERE contains(headword, ' '))"
@@ -527,7 +538,7 @@ def utf16_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NUM} SELECT entry_id, 'data/' || lpad(CAST(ordinal AS VARCHAR), 5, '0') || '.zst' AS path, CAST(ordinal AS INTEGER) AS number FROM num")
 def block_paths(spark: SparkSession, d: str) -> DataFrame:
-    return index.ordinals(heads(spark, d)).select("entry_id", T.block_path(F.col("ordinal")).alias("path")).withColumn("number", T.block_number(F.col("path")))
+    return numbered(spark, d).select("entry_id", T.block_path(F.col("ordinal")).alias("path")).withColumn("number", T.block_number(F.col("path")))
 
 
 # ---------------------------------------------------------------- media
@@ -557,7 +568,8 @@ SELECT r.pack_id, r.owner_id, r.ord, 'media/' || m.kind || '/' || m.hash[1:2] ||
 def media_resolve(spark: SparkSession, d: str) -> DataFrame:
     r = once(spark, d, "media_refs").select("owner_id", "ord", "kind", "hash", F.substring_index("owner_id", "/", 1).try_cast("bigint").alias("entry_id")).distinct()
     r = r.join(heads(spark, d).select("entry_id", "pack_id"), "entry_id").select("pack_id", "owner_id", "ord", "kind", F.lower("hash").alias("hash")).distinct()
-    return media.resolved(r, media.manifest(table(spark, d, "media")))
+    hot = hot_values(table(spark, d, "media_refs").select(F.lower("hash").alias("h")), ["h"])["h"]
+    return media.resolved(r, media.manifest(table(spark, d, "media")), hot)
 
 
 # ---------------------------------------------------------------- rules and quality
@@ -574,7 +586,7 @@ UNION ALL SELECT 'pos unknown', entry_id || '/' || ety_ord || '/' || sense_ord F
 UNION ALL SELECT 'media kind or compression', pack_id || '/' || ord FROM media WHERE NOT coalesce(kind IN ('audio', 'image', 'video') AND compression IN ('none', 'zstd'), false)""")
 def violations(spark: SparkSession, d: str) -> DataFrame:
     h, e = heads(spark, d), edges(spark, d)
-    parts = [validate.entry_rules(h), validate.relation_rules(e, h), validate.sense_rules(once(spark, d, "senses").drop("tags")), validate.media_rules(table(spark, d, "media")), validate.pool_rules(_pools(spark, d))]
+    parts = [validate.entry_rules(h), validate.relation_rules(e, h, hot_targets(spark, d)), validate.sense_rules(once(spark, d, "senses").drop("tags")), validate.media_rules(table(spark, d, "media")), validate.pool_rules(_pools(spark, d))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -640,7 +652,7 @@ def documents_of(spark: SparkSession, d: str) -> DataFrame:
     only = lambda name, *cols: once(spark, d, name).select("entry_id", *cols).distinct()
     tags = only("entry_tags", "ord", "tag").where("tag IS NOT NULL").groupBy("entry_id").agg(nest.ordered("ord", "tag").alias("t"))
     morph = only("morphology", "ord", "kind", "term").groupBy("entry_id").agg(nest.ordered("ord", "kind", F.coalesce("term", F.lit("")).alias("term")).alias("m"))
-    sane = graph.sanitized(edges(spark, d), heads(spark, d))
+    sane = graph.sanitized(edges(spark, d), heads(spark, d), hot_targets(spark, d))
     rel = sane.groupBy(F.concat_ws("/", "pack_id", "src").alias("headword")).agg(nest.ordered("ord", "type", F.concat_ws("/", "pack_id", "dst").alias("target")).alias("r"))
     keys = ["entry_id", "ety_ord", "sense_ord"]
     forms = once(spark, d, "forms").groupBy(*keys).agg(nest.ordered("ord", "form_id", "kind", F.coalesce("term", F.lit("")).alias("term"), "tags", "feats").alias("forms"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,22 @@ def shared_folder(spark: SparkSession) -> str:
     return at.removeprefix("file:").replace("///", "/") if at.startswith("file:") else at
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once per application and state of the source tables, as a pack is compiled once and then queried."""
+    stamps = []
+    for t in sources:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")  # noqa: SLF001
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+        stamps += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(at)]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept or _kept[key][0] != stamps:
+        _kept[key] = (stamps, make())
+    return _kept[key][1]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors lose no work."""
     shared_folder(df.sparkSession)

@@ -427,6 +427,7 @@ def check_pack(docs: DataFrame, meta: dict) -> None:
     heads = docs.select(F.lit("").alias("pack_id"), F.col("ord").alias("entry_id"), "headword")
     rel = F.from_json(F.get_json_object("body", "$.relations"), "array<struct<type:string,target:string>>")
     e = docs.select(F.lit("").alias("pack_id"), F.col("headword").alias("src"), F.posexplode(rel).alias("ord", "r")).select("pack_id", "src", "ord", "r.type", F.col("r.target").alias("dst"))
+    e = stored(e)  # read by each rule
     bad = validate.entry_rules(heads).unionByName(validate.relation_rules(e, heads)).limit(5).collect()
     if bad:
         raise Malformed("; ".join(f"{r['rule']}: {r['key']}" for r in bad))
