@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # The generator's and the sweep's own sizes.
 RESTARTS, SEEDS, POOLS = 30, 50, (2, 4, 6, 8, 10, 15, 20, 30, 50, 100, 300)
 TASKS = 110
+LIST = 20_000  # words that may go to one task
 OUT = "seed int, number int, direction string, x int, y int, word string, clue string"
 
 
@@ -20,54 +21,84 @@ def _noise(*parts: object) -> float:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=7).digest(), "big") / (1 << 56)
 
 
-def _cells(word: str, x: int, y: int, across: bool) -> list[tuple[int, int]]:
-    return [(x + i * across, y + i * (not across)) for i in range(len(word))]
-
-
-def _crossings(grid: dict, word: str, x: int, y: int, across: bool) -> int:
-    """Letters shared with the grid, or -1 where the word can't stand: other letters, or letters beside it."""
-    cells = _cells(word, x, y, across)
-    dx, dy = int(across), int(not across)
-    if (x - dx, y - dy) in grid or (cells[-1][0] + dx, cells[-1][1] + dy) in grid:
-        return -1
-    shared = 0
-    for (cx, cy), c in zip(cells, word):
-        if (cx, cy) in grid:
-            if grid[cx, cy] != c:
-                return -1
-            shared += 1
-        elif (cx + dy, cy + dx) in grid or (cx - dy, cy - dx) in grid:
-            return -1
-    return shared
+Slot = tuple[int, int, int]  # row, column, and 1 for down or 0 for across
+
+
+class Board:
+    """A sparse board: its letters by cell, its cells by letter, and the directions each cell is used in."""
+
+    def __init__(self) -> None:
+        self.letter: dict[tuple[int, int], str] = {}
+        self.where: dict[str, list[tuple[int, int]]] = {}
+        self.used: dict[tuple[int, int], set[int]] = {}
+        self.words: list[tuple[str, Slot]] = []
+
+    @staticmethod
+    def squares(word: str, slot: Slot) -> list[tuple[int, int]]:
+        row, col, down = slot
+        return [(row + n * down, col + n * (1 - down)) for n in range(len(word))]
+
+    def write(self, word: str, slot: Slot) -> None:
+        for square, c in zip(self.squares(word, slot), word):
+            if square not in self.letter:
+                self.letter[square] = c
+                self.where.setdefault(c, []).append(square)
+            self.used.setdefault(square, set()).add(slot[2])
+        self.words.append((word, slot))
+
+    def slots(self, word: str) -> dict[Slot, int]:
+        """Every slot of a word that crosses what is there, with the number of letters it would share.
+
+        The cells of each of its letters are looked up; a cell used in one direction only offers the
+        other. The hits of a slot are its crossings, and it stands if every other cell of it is free
+        and borders on nothing, and if the word neither continues nor is continued by another.
+        """
+        hits: dict[Slot, int] = {}
+        for n, c in enumerate(word):
+            for row, col in self.where.get(c, ()):
+                if len(self.used[row, col]) == 1:
+                    down = 1 - next(iter(self.used[row, col]))
+                    slot = (row - n * down, col - n * (1 - down), down)
+                    hits[slot] = hits.get(slot, 0) + 1
+        return {slot: n for slot, n in hits.items() if self._stands(word, slot, n)}
+
+    def _stands(self, word: str, slot: Slot, crossings: int) -> bool:
+        squares, down = self.squares(word, slot), slot[2]
+        if sum(q in self.letter for q in squares) != crossings:  # some letter there is another one, or in line with the word
+            return False
+        ends = ((slot[0] - down, slot[1] - (1 - down)), (squares[-1][0] + down, squares[-1][1] + (1 - down)))
+        free = (q for q in squares if q not in self.letter)
+        return not any(q in self.letter for q in ends) and not any((r + (1 - down) * k, c + down * k) in self.letter for r, c in free for k in (-1, 1))
+
+    def bounds(self) -> tuple[int, int, int, int]:
+        """First row and column, height and width."""
+        rows, cols = [r for r, _ in self.letter], [c for _, c in self.letter]
+        return min(rows), min(cols), max(rows) - min(rows) + 1, max(cols) - min(cols) + 1
 
 
 def layout(words: list[str], seed: int, target: int, start: int = 0) -> list[tuple[str, int, int, bool]]:
-    """(word, x, y, across): longest words first with jitter, each where it crosses most; another for each start."""
-    order = sorted(words, key=lambda w: (-len(w) - 4 * _noise(seed, start, w), w))
-    if not order:
-        return []
-    grid = dict(zip(_cells(order[0], 0, 0, True), order[0]))
-    out = [(order[0], 0, 0, True)]
-    for word in order[1:]:
-        if len(out) >= target:
+    """(word, x, y, across): words in a shuffled order in which longer ones tend to come first, each in its most crossed slot.
+
+    Of equally crossed slots the one nearest to the middle of the board is taken, so layouts stay compact; each start shuffles anew.
+    """
+    board = Board()
+    for word in sorted(words, key=lambda w: (-len(w) * (0.7 + 0.6 * _noise(seed, start, w)), w)):
+        if len(board.words) == target:
             break
-        best = None
-        for px, py, across, i, j in ((px, py, a, i, j) for p, px, py, a in out for i, c in enumerate(p) for j, w in enumerate(word) if c == w):
-            x, y = (px + i, py - j) if across else (px - j, py + i)
-            n = _crossings(grid, word, x, y, not across)
-            if n > 0 and (best is None or n >= best[0]):
-                rank = (n, _noise(seed, start, word, x, y), x, y, not across)
-                best = rank if best is None else max(best, rank)
-        if best:
-            out.append((word, best[2], best[3], best[4]))
-            grid |= dict(zip(_cells(word, *best[2:]), word))
-    return out
+        if not board.words:
+            board.write(word, (0, 0, 0))
+            continue
+        slots = board.slots(word)
+        if slots:
+            top, left, height, width = board.bounds()
+            far = lambda s: abs(2 * s[0] + s[2] * (len(word) - 1) - 2 * top - height + 1) + abs(2 * s[1] + (1 - s[2]) * (len(word) - 1) - 2 * left - width + 1)  # noqa: B023, E731
+            board.write(word, min(slots, key=lambda s: (-slots[s], far(s), s)))
+    return [(w, col, row, not down) for w, (row, col, down) in board.words]
 
 
 def _area(placed: list[tuple[str, int, int, bool]]) -> int:
-    cells = [c for p in placed for c in _cells(*p)]
-    xs, ys = [x for x, _ in cells], [y for _, y in cells]
-    return (max(xs) - min(xs) + 1) * (max(ys) - min(ys) + 1)
+    width = max(x + (len(w) if across else 1) for w, x, _, across in placed) - min(x for _, x, _, _ in placed)
+    return width * (max(y + (1 if across else len(w)) for w, _, y, across in placed) - min(y for _, _, y, _ in placed))
 
 
 def generate(words: list[str], seed: int, target: int, restarts: int = RESTARTS) -> list[tuple[str, int, int, bool]]:
@@ -79,9 +110,12 @@ def generate(words: list[str], seed: int, target: int, restarts: int = RESTARTS)
 def puzzles(words: DataFrame, seeds: int, target: int = 12, restarts: int = RESTARTS) -> DataFrame:
     """OUT: for each seed 0..seeds-1 the best layout of ``restarts`` with numbered entries, coordinates from 0.
 
-    words: word, clue; a list of a few hundred words, which goes to each seed's task whole.
+    words: word, clue; a list of at most LIST words, which goes to each seed's task whole.
     """
-    clue = {r["word"]: r["clue"] for r in words.select("word", "clue").collect()}
+    rows = words.select("word", "clue").limit(LIST + 1).collect()
+    if len(rows) > LIST:
+        raise ValueError(f"a crossword takes at most {LIST} words; draw a sample first")
+    clue = {r["word"]: r["clue"] for r in rows}
 
     def one(seeds_: pd.Series) -> pd.DataFrame:
         rows = []
