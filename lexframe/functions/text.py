@@ -196,8 +196,15 @@ def ruby_reading(html: Column | str) -> Column:
 
 
 def strip_markup(text: Column | str) -> Column:
-    """Text without inline marks: codes 1 to 9 open and close spans; 0 before a code makes it plain text."""
-    return F.regexp_replace(text, r"\x00([\x00-\x09])|[\x01-\x09]", "$1")
+    """Text without inline marks: codes 1 to 9 open and close spans; 0 makes the character after it plain text. Null where the marks are invalid."""
+    return F.when(~markup_fault(text), F.regexp_replace(text, r"(?s)\x00(.)|[\x01-\x09]", "$1"))
+
+
+def markup_fault(text: Column | str) -> Column:
+    """Whether the inline marks of a text are invalid: a span that isn't closed, is closed by another mark, or nests; a 0 at the end."""
+    bare = F.regexp_replace(text, r"(?s)\x00.", "")
+    rest = F.regexp_replace(bare, r"(?s)\x01[^\x00-\x09]*\x02|\x03[^\x00-\x09]*\x04|\x05[^\x00-\x09]*\x06|\x07[^\x00-\x09]*\x08[^\x00-\x09]*\x09", "")
+    return rest.rlike(r"[\x00-\x09]")
 
 
 def link_target(record: Column | str) -> Column:
@@ -263,6 +270,11 @@ def word_spans(text: Column, word: Column, most: int = 8) -> Column:
     return F.coalesce(found, none)
 
 
+def first_form_spans(text: Column, forms: Column, most: int = 8) -> Column:
+    """The hits of the first form that has any, as ``word_spans`` gives them; none if no form has one."""
+    return F.aggregate(forms, F.array().cast("array<struct<offset:bigint,length:bigint>>"), lambda acc, f: F.when(F.size(acc) > 0, acc).otherwise(word_spans(text, f, most)))
+
+
 def highlight_runs(text: Column, spans: Column) -> Column:
     """Alternating runs of a text as (text, marked): spans in UTF-8 bytes; invalid and overlapping ones are skipped."""
     total = F.octet_length(text).cast("bigint")

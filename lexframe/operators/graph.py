@@ -41,18 +41,22 @@ def with_reverse(e: DataFrame) -> DataFrame:
     return e.select("pack_id", "src", "type", "dst", F.lit(True).alias("authored")).unionByName(added.withColumn("authored", F.lit(False)))
 
 
-def phrase_edges(heads: DataFrame, e: DataFrame) -> DataFrame:
-    """Edges ``phrase`` from each word of a phrase, if it is a headword, to the phrase; those that exist aren't added."""
-    words = heads.where(F.instr("headword", " ") > 0).select("pack_id", F.col("headword").alias("dst"), F.explode(F.array_distinct(F.split("headword", " "))).alias("src"))
-    known = words.where((F.col("src") != "") & (F.col("src") != F.col("dst"))).join(heads.select("pack_id", F.col("headword").alias("src")), ["pack_id", "src"], "left_semi")
-    new = known.select("pack_id", "src", F.lit("phrase").alias("type"), "dst").distinct()
+def words_of(heads: DataFrame) -> DataFrame:
+    """pack_id, phrase, component: the words of each headword that has several, for packs that declare no components."""
+    words = heads.where(F.instr("headword", " ") > 0).select("pack_id", F.col("headword").alias("phrase"), F.explode(F.array_distinct(F.split("headword", " "))).alias("component"))
+    return words.where((F.col("component") != "") & (F.col("component") != F.col("phrase")))
+
+
+def phrase_edges(declared: DataFrame, heads: DataFrame, e: DataFrame) -> DataFrame:
+    """Edges ``phrase`` from each component that is a headword to its phrase; those that exist aren't added. declared: pack_id, phrase, component."""
+    known = declared.join(heads.select("pack_id", F.col("headword").alias("component")), ["pack_id", "component"], "left_semi")
+    new = known.select("pack_id", F.col("component").alias("src"), F.lit("phrase").alias("type"), F.col("phrase").alias("dst")).distinct()
     return new.join(e.where(F.col("type") == "phrase").select("pack_id", "src", "dst"), ["pack_id", "src", "dst"], "left_anti")
 
 
-def missing_components(heads: DataFrame) -> DataFrame:
-    """Words of phrases that are no headword: pack_id, phrase, word."""
-    words = heads.where(F.instr("headword", " ") > 0).select("pack_id", F.col("headword").alias("phrase"), F.explode(F.array_distinct(F.split("headword", " "))).alias("word"))
-    return words.where(F.col("word") != "").join(heads.select("pack_id", F.col("headword").alias("word")), ["pack_id", "word"], "left_anti").select("pack_id", "phrase", "word")
+def missing_components(declared: DataFrame, heads: DataFrame) -> DataFrame:
+    """Declared components that are no headword, which is an error of the source: pack_id, phrase, component."""
+    return declared.select("pack_id", "phrase", "component").distinct().join(heads.select("pack_id", F.col("headword").alias("component")), ["pack_id", "component"], "left_anti").select("pack_id", "phrase", "component")
 
 
 def redirect_chains(redirects: DataFrame, hops: int = 8) -> DataFrame:

@@ -32,6 +32,12 @@ def prefix(heads: DataFrame, text: str, skip: int = 0, limit: int = 20) -> DataF
     return hits.orderBy("fold", "headword").offset(max(skip, 0)).limit(max(limit, 0))
 
 
+def page(heads: DataFrame, text: str, size: int = 200) -> DataFrame:
+    """The first ``size`` hits of a prefix, each with ``more``: whether the page is full, so that a longer one may be asked for."""
+    hits = prefix(heads, text, 0, size)
+    return hits.withColumn("more", F.count(F.lit(1)).over(Window.partitionBy()) >= size)  # a page is small
+
+
 def shelf(heads: DataFrame, text: str, pack_order: DataFrame, limit: int = SHELF_LIMIT) -> DataFrame:
     """Prefix hits over all packs: at most ``limit`` of each, in shelf order, ``limit`` in all (a top-k by definition).
 

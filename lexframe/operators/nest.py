@@ -25,6 +25,20 @@ def assembled(entries: DataFrame, senses: DataFrame, forms: DataFrame) -> DataFr
     return entries.join(s, "entry_id", "left").select("entry_id", "headword", F.coalesce("senses", F.array().cast(dict(s.dtypes)["senses"])).alias("senses"))
 
 
+def with_children(parents: DataFrame, children: DataFrame, name: str, *fields: str) -> DataFrame:
+    """``parents`` (raw_id, path, ...) with the array ``name`` of their children (raw_id, parent_path, ordinal, ...) in order; empty without any."""
+    below = children.groupBy("raw_id", F.col("parent_path").alias("path")).agg(ordered("ordinal", *fields).alias(name))
+    kind = dict(below.dtypes)[name]
+    return parents.join(below, ["raw_id", "path"], "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+
+
+def kept_definitions(definitions: DataFrame, targets: DataFrame, keep: bool) -> DataFrame:
+    """``definitions`` (pack_id, value, ...) with their texts blank in packs that have target languages, unless they are kept. targets: pack_id, lang."""
+    bilingual = targets.where(F.col("lang").isNotNull()).select("pack_id").distinct().withColumn("_has", F.lit(True))
+    out = definitions.join(bilingual, "pack_id", "left")
+    return out.withColumn("value", F.when(F.col("_has").isNotNull() & F.lit(not keep), "").otherwise(F.col("value"))).drop("_has")
+
+
 def has_content(entries: DataFrame, senses: DataFrame) -> DataFrame:
     """Entries with a sense or a redirect."""
     some = senses.select("entry_id").distinct().withColumn("_has", F.lit(True))
@@ -47,10 +61,9 @@ def languages(translations: DataFrame) -> DataFrame:
 
 
 def visible_definitions(nodes: DataFrame) -> DataFrame:
-    """raw_id, path, visible of every definition and group: it or anything below it has a text or a note."""
-    own = nodes.where(F.col("kind").isin("definition", "note")).where(
-        (F.col("kind") == "note") | (F.coalesce(F.get_json_object("payload", "$.value"), F.lit("")) != "")
-    )
+    """raw_id, path, visible of every definition and group: it or a definition below it has a text, a note or media."""
+    media = F.coalesce(F.size(F.from_json(F.get_json_object("payload", "$.media"), "array<string>")), F.lit(0)) > 0
+    own = nodes.where(F.col("kind").isin("definition", "note")).where((F.col("kind") == "note") | (F.coalesce(F.get_json_object("payload", "$.value"), F.lit("")) != "") | media)
     steps = F.split("path", "/")
     up = own.select("raw_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("path")).distinct()
     defs = nodes.where(F.col("kind").isin("definition", "group")).select("raw_id", "path")

@@ -20,13 +20,13 @@ def _rule(df: DataFrame, name: str, *key: str) -> DataFrame:
     return df.select(F.lit(name).alias("rule"), F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("∅")) for k in key]).alias("key"))
 
 
-def entry_rules(heads: DataFrame) -> DataFrame:
+def entry_rules(heads: DataFrame, limit: int = HEAD_LIMIT) -> DataFrame:
     """Empty, repeated and overlong headwords of the live entries."""
     twice = heads.groupBy("pack_id", "headword").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return reduce(DataFrame.unionByName, [
         _rule(heads.where(F.coalesce("headword", F.lit("")) == ""), "headword empty", "entry_id"),
         _rule(twice, "headword repeated", "pack_id", "headword"),
-        _rule(heads.where(F.octet_length("headword") > HEAD_LIMIT), "headword too long", "entry_id"),
+        _rule(heads.where(F.octet_length("headword") > limit), "headword too long", "entry_id"),
     ])
 
 
@@ -73,9 +73,9 @@ def manifest_rules(man: DataFrame) -> DataFrame:
     return bad.unionByName(_rule(twice, "media repeated", "kind", "hash"))
 
 
-def pool_rules(pool_rows: DataFrame) -> DataFrame:
+def pool_rules(pool_rows: DataFrame, limit: int = POOL_LIMIT) -> DataFrame:
     """Pools with more values than an index can number."""
-    return _rule(pool_rows.groupBy("pack_id", "pool").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > POOL_LIMIT), "pool too large", "pack_id", "pool")
+    return _rule(pool_rows.groupBy("pack_id", "pool").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "pool too large", "pack_id", "pool")
 
 
 def sortedness(numbered: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions import text as T
@@ -250,9 +251,12 @@ def postings_to_entries(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(num, ["pack_id", "ordinal"]).select("pack_id", "entry_id")
 
 
-@query(f"WITH {_E} SELECT 'not in order' AS rule, '' AS key WHERE false")
+@query(f"WITH {_NUM} SELECT 'not in order' AS rule, pack_id || '/' || CAST(max(ordinal) OVER (PARTITION BY pack_id) - ordinal AS BIGINT) AS key FROM num WHERE ordinal > 0")
 def sortedness(spark: SparkSession, d: str) -> DataFrame:
-    return validate.sortedness(numbered(spark, d))
+    """Neighbours out of order: none as the entries are numbered, all if they are numbered backwards."""
+    num = numbered(spark, d)
+    back = num.withColumn("ordinal", F.max("ordinal").over(Window.partitionBy("pack_id")) - F.col("ordinal"))
+    return validate.sortedness(num).unionByName(validate.sortedness(back))
 
 
 # ---------------------------------------------------------------- graph
@@ -282,18 +286,28 @@ def symmetric_closure(spark: SparkSession, d: str) -> DataFrame:
     return graph.with_reverse(graph.sanitized(edges(spark, d), heads(spark, d), hot_targets(spark, d)))
 
 
-_WORDS = "w AS (SELECT DISTINCT pack_id, headword AS phrase, unnest(string_split(headword, ' ')) AS word FROM live WHERE contains(headword, ' '))"
+_DECLARED = "declared AS (SELECT DISTINCT pack_id, src AS phrase, dst AS component FROM edges WHERE type = 'der')"
 
 
-@query(f"""WITH {_EDGES}, {_WORDS} SELECT w.pack_id, w.word AS src, w.phrase AS dst, 'phrase' AS type FROM w SEMI JOIN live l ON l.pack_id = w.pack_id AND l.headword = w.word WHERE w.word <> '' AND w.word <> w.phrase
+def _declared(spark: SparkSession, d: str) -> DataFrame:
+    """Declared components of phrases: here what an entry is derived from."""
+    return edges(spark, d).where("type = 'der'").select("pack_id", F.col("src").alias("phrase"), F.col("dst").alias("component"))
+
+
+@query(f"""WITH {_EDGES}, {_DECLARED} SELECT x.pack_id, component AS src, phrase AS dst, 'phrase' AS type FROM declared x SEMI JOIN live l ON l.pack_id = x.pack_id AND l.headword = x.component
 EXCEPT SELECT pack_id, src, dst, type FROM edges WHERE type = 'phrase'""")
 def phrase_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return graph.phrase_edges(heads(spark, d), edges(spark, d))
+    return graph.phrase_edges(_declared(spark, d), heads(spark, d), edges(spark, d))
 
 
-@query(f"WITH {_E}, {_WORDS} SELECT w.pack_id, w.phrase, w.word FROM w ANTI JOIN live l ON l.pack_id = w.pack_id AND l.headword = w.word WHERE w.word <> ''")
+@query(f"WITH {_EDGES}, {_DECLARED} SELECT x.pack_id, phrase, component FROM declared x ANTI JOIN live l ON l.pack_id = x.pack_id AND l.headword = x.component")
 def phrase_missing(spark: SparkSession, d: str) -> DataFrame:
-    return graph.missing_components(heads(spark, d))
+    return graph.missing_components(_declared(spark, d), heads(spark, d))
+
+
+@query(f"""WITH {_E} SELECT DISTINCT pack_id, headword AS phrase, w AS component FROM (SELECT pack_id, headword, unnest(string_split(headword, ' ')) AS w FROM live WHERE contains(headword, ' ')) WHERE w <> '' AND w <> headword""")
+def phrase_words(spark: SparkSession, d: str) -> DataFrame:
+    return graph.words_of(heads(spark, d))
 
 
 def _redirects(spark: SparkSession, d: str) -> DataFrame:
@@ -308,11 +322,11 @@ def redirect_chain(spark: SparkSession, d: str) -> DataFrame:
     return graph.redirect_chains(_redirects(spark, d))
 
 
-@query(f"""WITH {_E}, r AS (SELECT pack_id, headword AS src, see AS dst FROM live WHERE see <> ''), full_ AS (SELECT DISTINCT l.pack_id, l.headword FROM live l SEMI JOIN senses s ON s.entry_id = l.entry_id)
-SELECT r.pack_id, src, dst FROM r SEMI JOIN full_ f ON f.pack_id = r.pack_id AND f.headword = r.src""")
+@query(f"WITH {_E} SELECT DISTINCT o.pack_id, o.headword AS src FROM once o SEMI JOIN live l ON l.pack_id = o.pack_id AND l.headword = o.headword WHERE o.deleted_at IS NOT NULL")
 def redirect_rule3(spark: SparkSession, d: str) -> DataFrame:
-    full = heads(spark, d).join(table(spark, d, "senses").select("entry_id"), "entry_id", "left_semi")
-    return graph.unsettled(_redirects(spark, d), full).select("pack_id", "src", "dst")
+    """Redirected headwords that still resolve; the headwords of deleted entries are the redirected ones."""
+    gone = table(spark, d, "entries").where("deleted_at IS NOT NULL").select("pack_id", F.col("headword").alias("src")).distinct()
+    return graph.unsettled(gone, heads(spark, d)).select("pack_id", "src")
 
 
 @query("""WITH once AS (SELECT DISTINCT pack_id, entry_id, headword, ord FROM entries) SELECT pack_id, headword, entry_id FROM once QUALIFY row_number() OVER (PARTITION BY pack_id, headword ORDER BY ord, entry_id) = 1""")
@@ -384,30 +398,58 @@ def examples_in_order(spark: SparkSession, d: str) -> DataFrame:
     return ex.selectExpr("raw_id", "row_number() OVER (PARTITION BY raw_id ORDER BY place) AS n", "get_json_object(payload, '$.value') AS value")
 
 
-@query(NODES + """SELECT d.raw_id, d.path, CASE WHEN EXISTS (SELECT 1 FROM nodes t WHERE t.raw_id = d.raw_id AND t.kind = 'translation' AND len(string_split(t.path, '/')) = 3 AND split_part(t.path, '/', 1) = split_part(d.path, '/', 1) AND split_part(t.path, '/', 2) = split_part(d.path, '/', 2))
-THEN '' ELSE d.j ->> '$.value' END AS value FROM nodes d WHERE d.kind = 'definition'""")
+_PACK_OF = "(SELECT raw_id, arg_min(pack_id, {'l': loaded_at, 'b': body}) AS pack_id FROM raw_entries GROUP BY raw_id)"
+
+
+def _packs_of(spark: SparkSession, d: str) -> DataFrame:
+    """raw_id, pack_id: of repeated deliveries the earliest."""
+    return table(spark, d, "raw_entries").groupBy("raw_id").agg(F.min(F.struct("loaded_at", "body", "pack_id")).alias("f")).select("raw_id", "f.pack_id")
+
+
+@query(NODES + f""", target AS (SELECT DISTINCT pack_id FROM nodes n JOIN {_PACK_OF} p ON p.raw_id = n.raw_id WHERE kind = 'translation' AND (j ->> '$.lang') = 'ja')
+SELECT n.raw_id, n.path, k.keep, CASE WHEN NOT k.keep AND p.pack_id IN (SELECT pack_id FROM target) THEN '' ELSE n.j ->> '$.value' END AS value
+FROM nodes n JOIN {_PACK_OF} p ON p.raw_id = n.raw_id, (VALUES (true), (false)) k(keep) WHERE n.kind = 'definition'""")
 def defs_mode(spark: SparkSession, d: str) -> DataFrame:
-    """Definition texts, blank where the pack is bilingual: its sense has translations and definitions aren't kept."""
-    n = nodes(spark, d, "raw_id", "path", "kind", "payload")
-    top = F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("sense")
-    with_tr = n.where(F.col("kind") == "translation").where(F.size(F.split("path", "/")) == 3).select("raw_id", top).distinct().withColumn("has", F.lit(True))
-    defs = n.where("kind = 'definition'").select("raw_id", "path", top, F.get_json_object("payload", "$.value").alias("value"))
-    return defs.join(with_tr, ["raw_id", "sense"], "left").select("raw_id", "path", F.when(F.col("has"), "").otherwise(F.col("value")).alias("value"))
+    """Definition texts kept, and dropped as in packs that have a target language (here: Japanese, where a pack has translations into it)."""
+    n = nodes(spark, d, "raw_id", "path", "kind", "payload").join(_packs_of(spark, d), "raw_id")
+    value = F.get_json_object("payload", "$.value").alias("value")
+    targets = n.where("kind = 'translation'").select("pack_id", F.get_json_object("payload", "$.lang").alias("lang")).where("lang = 'ja'")
+    defs = n.where("kind = 'definition'").select("raw_id", "path", "pack_id", value)
+    modes = [nest.kept_definitions(defs, targets, keep).withColumn("keep", F.lit(keep)) for keep in (True, False)]
+    return modes[0].unionByName(modes[1]).select("raw_id", "path", "keep", "value")
 
 
-@query(NODES + """, own AS (SELECT raw_id, path FROM nodes WHERE kind = 'note' OR (kind = 'definition' AND coalesce(j ->> '$.value', '') <> ''))
+@query(NODES + """, own AS (SELECT raw_id, path FROM nodes WHERE kind = 'note' OR (kind = 'definition' AND (coalesce(j ->> '$.value', '') <> '' OR coalesce(json_array_length(j, '$.media'), 0) > 0)))
 SELECT raw_id, path, EXISTS (SELECT 1 FROM own o WHERE o.raw_id = d.raw_id AND (o.path = d.path OR starts_with(o.path, d.path || '/'))) AS visible FROM nodes d WHERE kind IN ('definition', 'group')""")
 def def_visible(spark: SparkSession, d: str) -> DataFrame:
     return nest.visible_definitions(nodes(spark, d, "raw_id", "path", "kind", "payload"))
 
 
-@query()
+_SPANNED = NODES + """, sp AS (SELECT raw_id || '/' || path AS key, j ->> '$.value' AS value, strlen(j ->> '$.value') AS size, list_transform(CAST(json_extract(j, '$.targets') AS JSON[]), lambda t: CAST(json_extract(t, '$.spans') AS JSON[])) AS ts
+ FROM nodes WHERE kind = 'example' AND json_type(json_extract(j, '$.targets')) = 'ARRAY' AND (j ->> '$.value') IS NOT NULL),
+ends AS (SELECT key, value, size, len(flatten(ts)) AS n, list_max(list_transform(flatten(ts), lambda s: CAST(s ->> '$.offset' AS BIGINT) + CAST(s ->> '$.length' AS BIGINT))) AS stop FROM sp)
+"""
+
+
+@query(_SPANNED + """SELECT key, 'as it is' AS planted, 'span out of range' AS rule FROM ends WHERE n > 0 AND stop > size
+UNION ALL SELECT key, 'beyond the end', 'span out of range' FROM ends WHERE n > 0 UNION ALL SELECT key, 'without length', 'span out of range' FROM ends WHERE n > 0
+UNION ALL SELECT key, 'twice', 'spans overlap' FROM ends WHERE n > 0 UNION ALL SELECT key, 'twice', 'span out of range' FROM ends WHERE n > 0 AND stop > size UNION ALL SELECT key, 'without spans', 'target without span' FROM ends WHERE n > 0""")
 def span_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Examples whose target spans break a rule."""
+    """Examples whose target spans break a rule: as they are, and with faults planted into each."""
     ex = nodes(spark, d, "raw_id", "path", "kind", "payload").where("kind = 'example'")
     kind = "array<struct<spans:array<struct<offset:bigint,length:bigint>>>>"
     targets = F.coalesce(F.from_json(F.get_json_object("payload", "$.targets"), kind), F.array().cast(kind))
-    return validate.bad_spans(ex.select(F.concat_ws("/", "raw_id", "path").alias("key"), F.get_json_object("payload", "$.value").alias("value"), targets.alias("targets")))
+    own = ex.select(F.concat_ws("/", "raw_id", "path").alias("key"), F.get_json_object("payload", "$.value").alias("value"), targets.alias("targets"))
+    own = own.where("value IS NOT NULL AND exists(targets, t -> size(t.spans) > 0)")
+    each = lambda f: F.transform("targets", lambda t: F.struct(f(t["spans"]).alias("spans")))
+    moved = lambda o, n: each(lambda s: F.transform(s, lambda x: F.struct(o(x).alias("offset"), n(x).alias("length"))))
+    size = F.octet_length("value").cast("bigint")
+    plants = {
+        "as it is": F.col("targets"), "beyond the end": moved(lambda x: x["offset"] + size, lambda x: x["length"]), "without length": moved(lambda x: x["offset"], lambda x: F.lit(0).cast("bigint")),
+        "twice": F.concat("targets", "targets"), "without spans": each(lambda s: F.slice(s, 1, 0)),
+    }
+    found = [validate.bad_spans(own.withColumn("targets", F.when(F.size("targets") > 0, t))).withColumn("planted", F.lit(name)) for name, t in plants.items()]
+    return reduce(DataFrame.unionByName, found).select("key", "planted", "rule")
 
 
 # ---------------------------------------------------------------- scalar functions over the tables
@@ -428,14 +470,20 @@ def inflected_forms(spark: SparkSession, d: str) -> DataFrame:
     return heads(spark, d).where("headword <> ''").select(F.col("headword").alias("word")).distinct().select("word", F.array_join(T.inflected("word"), ",").alias("forms"))
 
 
-@query("""WITH m AS (SELECT entry_id, '[' || string_agg('["' || coalesce(kind, 'root') || '","' || term || '"]', ',' ORDER BY ord) || ']' AS raw FROM (SELECT DISTINCT entry_id, ord, kind, term FROM morphology WHERE term <> '' AND NOT contains(term, '"')) GROUP BY entry_id)
-SELECT entry_id, array_to_string(list_transform(CAST(CAST(raw AS JSON) AS VARCHAR[][]), lambda p: p[1] || '=' || p[2]), '|') AS morphemes FROM m""")
+_MORPHS = """m AS (SELECT entry_id, string_agg(coalesce(kind, '-') || '=' || term, '|' ORDER BY ord, kind NULLS FIRST, term) AS x, string_agg(coalesce(kind, '') || '=' || term, '|' ORDER BY ord, kind NULLS FIRST, term) AS y
+ FROM (SELECT DISTINCT entry_id, ord, kind, term FROM morphology WHERE term IS NOT NULL) GROUP BY entry_id)"""
+
+
+@query(f"WITH {_E}, {_MORPHS} SELECT entry_id, 'objects' AS shape, x AS morphemes FROM m UNION ALL SELECT entry_id, 'pairs', y FROM m UNION ALL SELECT entry_id, 'text', 'root=' || headword FROM live WHERE headword <> '' AND NOT starts_with(headword, '[')")
 def morphology_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Morphemes written as JSON pairs per entry, read back."""
-    m = once(spark, d, "morphology").where(~F.coalesce("term", F.lit("")).contains('"') & (F.coalesce("term", F.lit("")) != ""))
-    part = F.concat(F.lit('["'), F.coalesce("kind", F.lit("root")), F.lit('","'), "term", F.lit('"]'))
-    raw = m.groupBy("entry_id").agg(nest.ordered("ord", part.alias("p")).alias("ps")).select("entry_id", F.concat(F.lit("["), F.array_join(F.transform("ps", lambda x: x["p"]), ","), F.lit("]")).alias("raw"))
-    return raw.select("entry_id", F.array_join(F.transform(T.morphology("raw"), lambda x: F.concat(x["kind"], F.lit("="), x["term"])), "|").alias("morphemes"))
+    """Morphemes written as JSON objects, as JSON pairs and as plain text, read back."""
+    m = once(spark, d, "morphology").where("term IS NOT NULL").select("entry_id", "ord", "kind", "term").distinct()
+    own = m.groupBy("entry_id").agg(nest.ordered("ord", "kind", "term").alias("m"))
+    objects = own.select("entry_id", F.lit("objects").alias("shape"), F.to_json(F.transform("m", lambda x: F.struct(x["kind"].alias("kind"), x["term"].alias("term")))).alias("raw"))
+    pairs = own.select("entry_id", F.lit("pairs").alias("shape"), F.to_json(F.transform("m", lambda x: F.array(F.coalesce(x["kind"], F.lit("")), x["term"]))).alias("raw"))
+    text = heads(spark, d).where("headword <> '' AND NOT startswith(headword, '[')").select("entry_id", F.lit("text").alias("shape"), F.col("headword").alias("raw"))
+    every = objects.unionByName(pairs).unionByName(text)
+    return every.select("entry_id", "shape", F.array_join(F.transform(T.morphology("raw"), lambda x: F.concat(F.coalesce(x["kind"], F.lit("-")), F.lit("="), x["term"])), "|").alias("morphemes"))
 
 
 _LANGS = "l AS (SELECT DISTINCT coalesce(lang, '?') AS lang FROM documents)"
@@ -511,18 +559,20 @@ def link_records(spark: SparkSession, d: str) -> DataFrame:
     return heads(spark, d).select("entry_id", T.link_target(record).alias("target"))
 
 
-@query("""WITH t AS (SELECT doc_id, text, headword FROM documents WHERE text IS NOT NULL AND headword IS NOT NULL AND headword <> ''),
+_HITS = """t AS (SELECT doc_id, text, headword FROM documents WHERE text IS NOT NULL AND headword IS NOT NULL AND headword <> ''),
 p AS (SELECT doc_id, text, headword, string_split(lower(text), lower(headword)) AS ps, length(headword) AS n, lower(text) AS low FROM t),
 s AS (SELECT doc_id, text, low, n, list_transform(range(1, len(ps)), lambda i: list_sum(list_transform(ps[:i], lambda x: length(x))) + (i - 1) * n) AS starts FROM p),
-h AS (SELECT doc_id, text, n, list_filter(starts, lambda s: NOT regexp_matches(low[CAST(s AS BIGINT)], '[A-Za-z0-9]') AND NOT regexp_matches(low[CAST(s + n + 1 AS BIGINT)], '[A-Za-z0-9]'))[:8] AS hits FROM s)
-SELECT doc_id, array_to_string(list_transform(hits, lambda s: CAST(strlen(left(text, CAST(s AS BIGINT))) AS BIGINT) || '+' || strlen(substr(text, CAST(s + 1 AS BIGINT), n))), ',') AS spans FROM h""")
+h AS (SELECT doc_id, text, n, list_filter(starts, lambda s: NOT regexp_matches(low[CAST(s AS BIGINT)], '[A-Za-z0-9]') AND NOT regexp_matches(low[CAST(s + n + 1 AS BIGINT)], '[A-Za-z0-9]'))[:8] AS hits FROM s)"""
+
+
+@query(f"""WITH {_HITS} SELECT doc_id, array_to_string(list_transform(hits, lambda s: CAST(strlen(left(text, CAST(s AS BIGINT))) AS BIGINT) || '+' || strlen(substr(text, CAST(s + 1 AS BIGINT), n))), ',') AS spans FROM h""")
 def word_spans(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text IS NOT NULL AND headword <> ''")
     spans = T.word_spans(F.col("text"), F.col("headword"))
     return docs.select("doc_id", F.array_join(F.transform(spans, lambda s: F.concat(s["offset"].cast("string"), F.lit("+"), s["length"].cast("string"))), ",").alias("spans"))
 
 
-@query()
+@query(f"WITH {_HITS} SELECT doc_id, CAST(len(hits) AS INTEGER) AS marked, true AS whole FROM h")
 def highlight_runs(spark: SparkSession, d: str) -> DataFrame:
     """Texts as alternating plain and marked runs; the runs joined are the text."""
     docs = table(spark, d, "documents").where("text IS NOT NULL AND headword <> ''")
@@ -633,11 +683,14 @@ def word_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'entries' AS name, pack_id || '/' || headword AS key, count(*) AS n FROM (SELECT DISTINCT pack_id, headword, entry_id FROM entries) GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'relations', entry_id || '/' || coalesce(type, '∅') || '/' || coalesce(target, '∅'), count(*) FROM (SELECT DISTINCT entry_id, ord, type, target FROM relations) GROUP BY ALL HAVING count(*) > 1
 UNION ALL SELECT 'media', pack_id || '/' || kind || '/' || sha1(bytes), count(*) FROM media GROUP BY ALL HAVING count(*) > 1""")
 def duplicates(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "entries").select(F.lit("entries").alias("name"), F.concat_ws("/", "pack_id", "headword").alias("key"), "entry_id").distinct().drop("entry_id")
     m = table(spark, d, "media").select(F.lit("media").alias("name"), F.concat_ws("/", "pack_id", "kind", F.sha1("bytes")).alias("key"))
-    return e.unionByName(m).groupBy("name", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    r = table(spark, d, "relations").select("entry_id", "ord", "type", "target").distinct()
+    r = r.select(F.lit("relations").alias("name"), F.concat_ws("/", "entry_id", F.coalesce("type", F.lit("∅")), F.coalesce("target", F.lit("∅"))).alias("key"))
+    return e.unionByName(m).unionByName(r).groupBy("name", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 # ---------------------------------------------------------------- packs, generation

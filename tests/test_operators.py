@@ -61,8 +61,8 @@ def test_graph(spark):
     assert sorted((r["src"], r["type"] or "", r["dst"], r["ord"]) for r in sane.collect()) == [("hello", "", "world", 2), ("hello", "see", "world", 0), ("hello", "syn", "world", 1), ("world", "syn", "hello", 0)]
     closed = graph.with_reverse(sane)
     assert closed.where("NOT authored").count() == 0
-    assert sorted((r["src"], r["dst"]) for r in graph.phrase_edges(h, e).collect()) == [("hello", "hello world"), ("world", "hello world")]
-    assert sorted(r["word"] for r in graph.missing_components(h).collect()) == ["known", "un"]
+    assert sorted((r["src"], r["dst"]) for r in graph.phrase_edges(graph.words_of(h), h, e).collect()) == [("hello", "hello world"), ("world", "hello world")]
+    assert sorted(r["component"] for r in graph.missing_components(graph.words_of(h), h).collect()) == ["known", "un"]
 
 
 def test_redirect_chains(spark):
