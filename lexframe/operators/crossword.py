@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -139,6 +140,24 @@ def best(p: DataFrame) -> DataFrame:
     return p.join(size.orderBy(F.desc("n"), "area", "seed").limit(1), "seed").drop("n", "area")
 
 
+def faults(p: DataFrame) -> DataFrame:
+    """rule, n: how often the layouts of ``puzzles`` break each rule: letters agree, words hang together, no word comes twice, numbers follow the starts, all is on the board."""
+    down = (F.col("direction") == "D").cast("int")
+    cells = p.select("seed", "word", "direction", F.posexplode(F.split("word", "")).alias("i", "c"), "x", "y").select("seed", "word", (F.col("x") + F.col("i") * (1 - down)).alias("cx"), (F.col("y") + F.col("i") * down).alias("cy"), "c")
+    by = cells.groupBy("seed", "cx", "cy").agg(F.countDistinct("c").alias("letters"), F.count(F.lit(1)).alias("words"))
+    alone = cells.join(by, ["seed", "cx", "cy"]).groupBy("seed", "word").agg(F.max("words").alias("most"))
+    many = p.groupBy("seed").agg(F.count(F.lit(1)).alias("all"))
+    twice = p.groupBy("seed", "word").agg(F.count(F.lit(1)).alias("k"))
+    starts = p.select("seed", "x", "y", "number").distinct()
+    rank = F.dense_rank().over(Window.partitionBy("seed").orderBy("y", "x"))
+    one = lambda df, rule: df.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    parts = [
+        one(by.where("letters > 1"), "letters differ"), one(alone.join(many, "seed").where("most < 2 AND all > 1"), "word apart"), one(twice.where("k > 1"), "word twice"),
+        one(starts.withColumn("r", rank).where("r <> number"), "number differs"), one(p.where("x < 0 OR y < 0"), "off the board"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def draws(words: DataFrame, size: int, seeds: int) -> DataFrame:
     """seed, rank, word: for each seed the first ``size`` words in the order of a hash with the seed."""
     drawn = words.select("word").distinct().crossJoin(F.broadcast(words.sparkSession.range(seeds).select(F.col("id").cast("int").alias("seed"))))

@@ -23,6 +23,33 @@ def repeated_forms(forms: DataFrame) -> DataFrame:
     return forms.where(F.col("term").isNotNull()).groupBy("entry_id", "term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def nested_report(nodes: DataFrame, packs: DataFrame) -> DataFrame:
+    """Per pack: definitions, those with an id, examples, those without translation and without target. nodes: raw_id, path, parent_path, kind, payload; packs: raw_id, pack_id."""
+    translated = nodes.where("kind = 'translation'").select("raw_id", F.col("parent_path").alias("path")).distinct().withColumn("_t", F.lit(True))
+    own = nodes.where(F.col("kind").isin("definition", "example")).join(translated, ["raw_id", "path"], "left").join(packs, "raw_id")
+    definition, example = F.col("kind") == "definition", F.col("kind") == "example"
+    targets = F.coalesce(F.size(F.from_json(F.get_json_object("payload", "$.targets"), "array<string>")), F.lit(0))
+    every = nodes.select("raw_id").distinct().join(packs, "raw_id").select("pack_id").distinct()
+    by = own.groupBy("pack_id").agg(
+        F.count_if(definition).alias("definitions"), F.count_if(definition & (F.coalesce(F.get_json_object("payload", "$.id"), F.lit("")) != "")).alias("with_id"),
+        F.count_if(example).alias("examples"), F.count_if(example & F.col("_t").isNull()).alias("untranslated"), F.count_if(example & (targets <= 0)).alias("untargeted"),
+    )
+    return every.join(by, "pack_id", "left").na.fill(0)
+
+
+def repeated_ids(definitions: DataFrame) -> DataFrame:
+    """raw_id, id, n: ids that an entry gives to more than one definition."""
+    return definitions.where(F.coalesce("id", F.lit("")) != "").groupBy("raw_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def repeated_senses(senses: DataFrame, translations: DataFrame, words: DataFrame, least: int = 2) -> DataFrame:
+    """headword, pos, translations, n: senses of a headword and part of speech that have the same translations, ``least`` of them or more. words: raw_id, headword."""
+    one = F.concat_ws(":", F.coalesce("lang", F.lit("-")), F.coalesce("value", F.lit("-")))
+    said = translations.groupBy("raw_id", F.col("parent_path").alias("path")).agg(F.array_join(F.sort_array(F.collect_list(one)), ",").alias("translations"))
+    all_ = senses.select("raw_id", "path", "pos").join(said, ["raw_id", "path"]).join(words.where("headword IS NOT NULL"), "raw_id")
+    return all_.groupBy("headword", "pos", "translations").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
 def pos_sequence_ids(senses: DataFrame) -> DataFrame:
     """entry_id, ety_ord, sense_ord, id: ``pos.n``, numbered per entry, etymology and part of speech; later etymologies lead with ``eN.``."""
     label = mapped(F.upper("pos"), POS_LABELS, F.coalesce(F.lower("pos"), F.lit("x")))

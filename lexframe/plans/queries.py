@@ -762,37 +762,6 @@ def pack_media(spark: SparkSession, d: str) -> DataFrame:
     return m.select("kind", "hash", "ext", "mime", "compression", F.octet_length("bytes").cast("bigint").alias("size"), (F.sha1("bytes") == F.col("hash")).alias("same"))
 
 
-def plain_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The live headwords of all packs, each once, with tags only."""
-    tags = once(spark, d, "entry_tags").where("tag IS NOT NULL").groupBy("entry_id").agg(nest.ordered("ord", "tag").alias("t"))
-    h = heads(spark, d).join(tags, "entry_id", "left")
-    return h.select(F.col("entry_id").alias("ord"), F.concat_ws("/", "pack_id", "headword").alias("headword"), F.to_json(F.struct(F.transform("t", lambda x: x["tag"]).alias("tags"))).alias("body"))
-
-
-_ALL = _E + ", num AS (SELECT entry_id, pack_id || '/' || headword AS word, row_number() OVER (ORDER BY lower(pack_id || '/' || headword), pack_id || '/' || headword) - 1 AS ordinal FROM live)"
-
-
-@query(f"WITH {_ALL} SELECT word AS headword, ordinal FROM num")
-def pack_heads(spark: SparkSession, d: str) -> DataFrame:
-    """The location scan of a written pack."""
-    return spark.read.format("lexpack").option("table", "heads").load(written_pack(spark, d, plain_documents(spark, d))).select("headword", "ordinal")
-
-
-@query(f"WITH {_ALL} SELECT t.tag AS key, n.ordinal AS id FROM (SELECT DISTINCT entry_id, tag FROM entry_tags WHERE tag IS NOT NULL) t JOIN num n ON n.entry_id = t.entry_id")
-def pack_postings(spark: SparkSession, d: str) -> DataFrame:
-    """The tag index of a written pack, id by id."""
-    p = spark.read.format("lexpack").option("table", "postings").load(written_pack(spark, d, plain_documents(spark, d)))
-    return p.where("kind = 'tag'").select("key", F.explode("ids").alias("id"))
-
-
-@query(f"WITH {_E} SELECT count(*) AS entries, true AS versions, true AS verbatim FROM live")
-def pack_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """The typed manifest of a written pack, held against the text it was read from."""
-    m = spark.read.format("lexpack").option("table", "manifest").load(written_pack(spark, d, plain_documents(spark, d)))
-    same = F.get_json_object("body", "$.index.entry_count").cast("bigint") == F.col("index.entry_count")
-    return m.agg(F.sum("index.entry_count").alias("entries"), F.bool_and(F.col("format_version").startswith("0.1.")).alias("versions"), F.bool_and(same).alias("verbatim"))
-
-
 @query()
 def crossword_puzzles(spark: SparkSession, d: str) -> DataFrame:
     """The best of eight crosswords over the sampled words, each the best of 30 starts."""

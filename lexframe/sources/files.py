@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import tomllib
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from pathlib import Path
@@ -54,6 +55,36 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return first.select("f.path", "f.n", "headword", "f.body")
 
 
+def write_documents(entries: DataFrame, folder: str, kind: str = "json") -> int:
+    """Entries (any columns) as source documents, one file a partition, in JSON or YAML; returns their number. Works on any file system that Arrow knows."""
+    from pyarrow import fs as pafs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [json.loads(x) for b in batches for x in b.column(0).to_pylist()]
+        if rows:
+            if kind == "yaml":
+                import yaml
+
+                data = yaml.safe_dump({"entries": rows}, allow_unicode=True, sort_keys=False)
+            else:
+                data = json.dumps({"entries": rows}, ensure_ascii=False)
+            fs, at = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+            fs.create_dir(at, recursive=True)
+            with fs.open_output_stream(f"{at}/{uuid.uuid4().hex}.{kind}") as f:
+                f.write(data.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    return entries.select(F.to_json(F.struct(*entries.columns)).alias("j")).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()[0][0] or 0
+
+
+def fetched(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """word, page_id, html: the page of each word (pages: page_id, key, html), over one link; null where there is none."""
+    own = pages.select("key", "page_id", "html", T.link_target("html").alias("_to"))
+    first = words.join(own, words["word"] == own["key"], "left").drop("key")
+    there = pages.select(F.col("key").alias("_k"), F.col("page_id").alias("_id"), F.col("html").alias("_html"))
+    return first.join(there, F.col("_to") == F.col("_k"), "left").select("word", F.when(F.col("_to").isNull(), F.col("page_id")).otherwise(F.col("_id")).alias("page_id"), F.when(F.col("_to").isNull(), F.col("html")).otherwise(F.col("_html")).alias("html"))
+
+
 def registry(spark: SparkSession, toml: str) -> DataFrame:
     """combo, id, name, description of the packs in a registry; its text is small by nature."""
     packs = tomllib.loads(toml).get("packs", [])

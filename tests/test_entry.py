@@ -8,12 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexframe.plans import general, queries
+from lexframe.plans import general, more, queries
 
 DATA = os.environ.get("LEXFRAME_TESTDATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-CORE = {**queries.QUERIES, **general.QUERIES}
-CORE_SQL = {**queries.SQL, **general.SQL}
+CORE = {**queries.QUERIES, **general.QUERIES, **more.QUERIES}
+CORE_SQL = {**queries.SQL, **general.SQL, **more.SQL}
 
 
 def plain(v):
