@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from lexframe.session import checkpointed
 
 FRONT_BLOCK = 256  # entries after which front coding starts anew
 POSTING_CHUNK = 65_536  # ids of one posting row at most
-PACK_SEGMENT = 1 << 20  # entries after which block packing starts anew
+PACK_SEGMENT = 1 << 20  # entries that one task packs at a time; the blocks don't depend on it
 POOL_LIMIT = 65_535
 
 
@@ -90,34 +92,121 @@ def postings(keyed: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
     return keyed.groupBy("pack_id", key, chunk.alias("chunk")).agg(F.sort_array(F.collect_set(ordinal)).alias("ids"))
 
 
-def _pack(block_max: int):  # noqa: ANN202
-    schema = pa.schema([("pack_id", pa.string()), ("ordinal", pa.int64()), ("size", pa.int64()), ("segment", pa.int64()), ("block", pa.int64()), ("at", pa.int64())])
+def _breaks(size: np.ndarray, block_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums before each entry (and of all), and for a block that starts at each entry the start of the next one (the length if none).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, used = None, 0, 0
+    A block is closed before an entry that would exceed ``block_max``, unless nothing but empty entries is in it.
+    """
+    n = len(size)
+    total = np.concatenate([[0], np.cumsum(size)])
+    filled = np.append(np.flatnonzero(size > 0), n)
+    first = filled[np.searchsorted(filled, np.arange(n))]
+    return total, np.minimum(np.maximum(np.searchsorted(total, total[:-1] + block_max, "right") - 1, first + 1), n)
+
+
+def _segments(run: Callable[[str | None, int, np.ndarray, pa.Table], Iterator[pa.RecordBatch]]):  # noqa: ANN202
+    """An Arrow mapper over rows sorted by pack and segment, a whole segment at a time."""
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        segment = t.column("segment").to_numpy()
+        pack = t.column("pack_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        edges = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (pack[1:] != pack[:-1]), True])
+        for a, b in zip(edges, edges[1:]):
+            part = t.slice(a, b - a)
+            yield from run(part.column("pack_id")[0].as_py(), int(segment[a]), part.column("size").to_numpy(), part)
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            packs, segs, sizes = (batch.column(c).to_pylist() for c in ("pack_id", "segment", "size"))
-            blocks, ats = [], []
-            for p, s, size in zip(packs, segs, sizes):
-                if (p, s) != key:
-                    key, block, used = (p, s), 0, 0
-                elif used and used + size > block_max:
-                    block, used = block + 1, 0
-                blocks.append(block)
-                ats.append(used)
-                used += size
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pack_id", "ordinal", "size", "segment")), pa.array(blocks, pa.int64()), pa.array(ats, pa.int64())], schema=schema)
+            if not batch.num_rows:
+                continue
+            key = lambda b, i: (b.column("pack_id")[i].as_py(), b.column("segment")[i].as_py())
+            if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
+                yield from whole(held)
+                held = []
+            held.append(batch)
+        if held:
+            yield from whole(held)
+
+    return mapper
+
+
+_STEPS = "pack_id string, segment bigint, reach bigint, blocks bigint, left bigint, total bigint"
+
+
+def _steps(block_max: int):  # noqa: ANN202
+    """What a segment does to whatever comes into it.
+
+    One row for each entry at which an open block may be closed: it is the one if the bytes that come in and ``reach`` first
+    exceed the block; then ``blocks`` begin in the segment and ``left`` bytes are in the last. The row with reach -1 is for none coming in.
+    """
+
+    def run(pack: str | None, segment: int, size: np.ndarray, _: pa.Table) -> Iterator[pa.RecordBatch]:
+        total, after = _breaks(size, block_max)
+        n = len(size)
+        blocks, left = [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            j = int(after[i])
+            blocks[i], left[i] = (blocks[j] + 1, left[j]) if j < n else (0, int(total[n] - total[i]))
+        last = min(n - 1, int(np.searchsorted(total, block_max - 1, "right")) - 1)
+        reach = [-1, *(int(total[b + 1]) for b in range(last + 1))]
+        rows = [blocks[0], *(1 + blocks[b] for b in range(last + 1))], [left[0], *(left[b] for b in range(last + 1))]
+        k = len(reach)
+        cols = ([pack] * k, [segment] * k, reach, rows[0], rows[1], [int(total[n])] * k)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5))], names=[c.split()[0] for c in _STEPS.split(", ")])
+
+    return _segments(run)
+
+
+def _entries(block_max: int):  # noqa: ANN202
+    """The state in which each segment of a pack begins: its open block and the bytes in it. The segments are few."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, used, rows = 0, 0, []
+        for segment, own in pdf.sort_values(["segment", "reach"]).groupby("segment", sort=True):
+            rows.append((pdf["pack_id"].iloc[0], segment, block, used))
+            hit = own[own["reach"] < 0] if used == 0 else own[(own["reach"] >= 0) & (own["reach"] + used > block_max)]
+            if len(hit):
+                block, used = block + int(hit["blocks"].iloc[0]), int(hit["left"].iloc[0])
+            else:
+                used += int(own["total"].iloc[0])
+        return pd.DataFrame(rows, columns=["pack_id", "segment", "block0", "used0"])
 
     return run
 
 
-def packed_blocks(sizes: DataFrame, block_max: int) -> DataFrame:
-    """pack_id, segment, block, ordinal, at, size: greedy blocks in order of ordinals.
+def _packed(block_max: int):  # noqa: ANN202
+    """The blocks of a segment, from the state in which it begins (block0, used0)."""
+
+    def run(_: str | None, __: int, size: np.ndarray, part: pa.Table) -> Iterator[pa.RecordBatch]:
+        total, after = _breaks(size, block_max)
+        n, block, used = len(size), part.column("block0")[0].as_py(), part.column("used0")[0].as_py()
+        blocks, ats = np.empty(n, np.int64), np.empty(n, np.int64)
+        end = int(after[0]) if used == 0 else min(n, max(0, int(np.searchsorted(total, block_max - used, "right")) - 1))
+        blocks[:end], ats[:end] = block, used + total[:end]
+        while end < n:
+            start, end, block = end, int(after[end]), block + 1
+            blocks[start:end], ats[start:end] = block, total[start:end] - total[start]
+        t = part.select(["pack_id", "ordinal", "size"]).append_column("block", pa.array(blocks)).append_column("at", pa.array(ats))
+        yield from t.combine_chunks().to_batches()
+
+    return _segments(run)
+
+
+def packed_blocks(sizes: DataFrame, block_max: int, segment: int = PACK_SEGMENT) -> DataFrame:
+    """pack_id, block, ordinal, at, size: greedy blocks in order of ordinals.
 
     A block is closed when it isn't empty and the next entry would exceed ``block_max``; a larger
-    entry has a block of its own. Only (ordinal, size) moves, and the state is one number. Packs of
-    more than PACK_SEGMENT entries start a new block at each segment, so no task walks a whole pack.
+    entry has a block of its own. Packs are walked in segments of so many entries by many tasks: first each
+    segment tells what it does to whatever comes into it, then the segments of a pack are gone through in
+    order, then each is packed from its own beginning. The result is that of one walk, whatever the segments are.
     """
-    cut = sizes.select("pack_id", "ordinal", F.col("size").cast("bigint").alias("size"), F.floor(F.col("ordinal") / PACK_SEGMENT).cast("bigint").alias("segment"))
-    out = cut.repartition("pack_id", "segment").sortWithinPartitions("pack_id", "segment", "ordinal").mapInArrow(_pack(block_max), "pack_id string, ordinal bigint, size bigint, segment bigint, block bigint, at bigint")
-    return out.select("pack_id", "segment", "block", "ordinal", "at", "size")
+    cut = sizes.select("pack_id", "ordinal", F.col("size").cast("bigint").alias("size"), F.floor(F.col("ordinal") / segment).cast("bigint").alias("segment"))
+    order = ["pack_id", "segment", "ordinal"]
+    spread = lambda df: df.repartition("pack_id", "segment").sortWithinPartitions(*order)
+    begins = spread(cut).mapInArrow(_steps(block_max), _STEPS).groupBy("pack_id").applyInPandas(_entries(block_max), "pack_id string, segment bigint, block0 bigint, used0 bigint")
+    begins = begins.select(F.col("pack_id").alias("_p"), F.col("segment").alias("_s"), "block0", "used0")
+    known = cut.join(begins, F.col("pack_id").eqNullSafe(F.col("_p")) & (F.col("segment") == F.col("_s"))).drop("_p", "_s")
+    out = spread(known).mapInArrow(_packed(block_max), "pack_id string, ordinal bigint, size bigint, block bigint, at bigint")
+    return out.select("pack_id", "block", "ordinal", "at", "size")

@@ -151,9 +151,9 @@ def index_directory(spark: SparkSession, d: str) -> DataFrame:
 walk AS (SELECT pack_id, ordinal, size, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS "at" FROM sized WHERE ordinal = 0
  UNION ALL SELECT s.pack_id, s.ordinal, s.size, w.block + CASE WHEN w."at" + w.size > 0 AND w."at" + w.size + s.size > 256 THEN 1 ELSE 0 END,
  CASE WHEN w."at" + w.size > 0 AND w."at" + w.size + s.size > 256 THEN 0 ELSE w."at" + w.size END FROM walk w JOIN sized s ON s.pack_id = w.pack_id AND s.ordinal = w.ordinal + 1)
-SELECT pack_id, CAST(0 AS BIGINT) AS segment, block, ordinal, "at", size FROM walk""")
+SELECT pack_id, block, ordinal, "at", size FROM walk""")
 def block_packing(spark: SparkSession, d: str) -> DataFrame:
-    return index.packed_blocks(numbered(spark, d).withColumn("size", F.octet_length("headword")), 256)
+    return index.packed_blocks(numbered(spark, d).withColumn("size", F.octet_length("headword")), 256, 1000)
 
 
 def _pools(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,22 @@ def test_block_packing(spark):
     assert [(r["block"], r["at"]) for r in index.packed_blocks(df, 256).orderBy("ordinal").collect()] == [(0, 0), (0, 100), (1, 0), (2, 0), (3, 0)]
 
 
+@pytest.mark.parametrize("segment", [1, 3, 7, 1000])
+def test_blocks_do_not_depend_on_segments(spark, segment):
+    rng = random.Random(segment)
+    sizes = {p: [rng.choice([0, 0, 1, 5, 20, 99, 100, 130]) for _ in range(n)] for p, n in (("p", 200), ("q", 1), ("r", 40))} | {"z": [0] * 9 + [200] + [0] * 5}
+    want = {}
+    for p, own in sizes.items():
+        block = used = 0
+        for i, s in enumerate(own):
+            if used and used + s > 100:
+                block, used = block + 1, 0
+            want[p, i] = (block, used)
+            used += s
+    df = spark.createDataFrame([(p, i, s) for p, own in sizes.items() for i, s in enumerate(own)], "pack_id string, ordinal bigint, size int")
+    assert {(r["pack_id"], r["ordinal"]): (r["block"], r["at"]) for r in index.packed_blocks(df, 100, segment).collect()} == want
+
+
 def test_pools_by_first_appearance(spark):
     rows = [("p", "tag", v, i) for i, v in enumerate(["exam:IELTS", "level:B2", "exam:IELTS", None, "level:C1"])]
     got = index.pools(spark.createDataFrame(rows, "pack_id string, pool string, value string, at int"))
