@@ -239,40 +239,49 @@ def utf16_offset(text: Column, offset: Column) -> Column:
     return F.length(head) + F.length(F.regexp_replace(head, r"[\x{0}-\x{FFFF}]", ""))
 
 
+def _even(text: str) -> str:
+    """Lower case by single code points; a letter whose lower case is longer stands for itself, so that places stay the same."""
+    return text.lower() if text.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _hits(text: str, low: str, needle: str, most: int) -> list[tuple[int, int]]:
+    """(offset, length) in UTF-8 bytes of the whole-word hits, from left to right without overlaps."""
+    out, at, byte, size = [], 0, 0, len(needle)
+    p = low.find(needle) if needle else -1
+    while p >= 0 and len(out) < most:
+        free = lambda c: not (c.isascii() and c.isalnum())
+        if (p == 0 or free(low[p - 1])) and (p + size == len(low) or free(low[p + size])):
+            byte, at = byte + len(text[at:p].encode()), p
+            out.append((byte, len(text[p : p + size].encode())))
+        p = low.find(needle, p + size)
+    return out
+
+
+_SPANS = "array<struct<offset:bigint,length:bigint>>"
+
+
 def word_spans(text: Column, word: Column, most: int = 8) -> Column:
     """Whole-word hits as (offset, length) in UTF-8 bytes of the original text, in order; a top-k by definition.
 
     Case is folded by single code points, so a hit maps back to the original even where a fold
     changes the length; a word boundary is any place without an ASCII letter or digit beside it.
-    The search goes on after a hit, also a rejected one. Empty words and nulls have no hits.
+    The search goes on after a hit, also a rejected one. Empty words and nulls have no hits. One pass over each text.
     """
-    plain = r"[A-Za-z0-9]"
-    none = F.array().cast("array<struct<offset:bigint,length:bigint>>")
-
-    def spans(low: Column, needle: Column) -> Column:
-        size = F.length(needle)
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        # The pieces between hits give the starts of the hits by running sums.
-        walk = lambda acc, p: F.struct((acc["at"] + F.length(p) + size).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(p))).alias("starts"))
-        pieces = F.split(low, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), -1)
-        starts = F.aggregate(pieces, first, walk)["starts"]
-        inner = let(starts, lambda s: F.slice(s, F.lit(1), F.size(s) - 1))  # the last piece ends with no hit
-        free = lambda at: ~F.coalesce(F.substring(low, at, F.lit(1)), F.lit("")).rlike(plain)
-        hits = F.filter(inner, lambda s: ((s == 0) | free(s)) & free(s + size + 1))
-        span = lambda s: F.struct(
-            F.octet_length(F.substring(text, F.lit(1), s)).cast("bigint").alias("offset"), F.octet_length(F.substring(text, s + 1, size)).cast("bigint").alias("length")
-        )
-        return F.transform(F.slice(hits, 1, most), span)
-
-    # The one letter whose fold is longer than itself stands for itself, so that places in the fold are places in the text.
-    even = lambda c: fold(F.translate(c, "İ", "\ue000"))
-    found = let(even(text), lambda low: let(even(word), lambda needle: F.when(F.length(needle) > 0, spans(low, needle)).otherwise(none)))
-    return F.coalesce(found, none)
+    return first_form_spans(text, F.array(word), most)
 
 
 def first_form_spans(text: Column, forms: Column, most: int = 8) -> Column:
     """The hits of the first form that has any, as ``word_spans`` gives them; none if no form has one."""
-    return F.aggregate(forms, F.array().cast("array<struct<offset:bigint,length:bigint>>"), lambda acc, f: F.when(F.size(acc) > 0, acc).otherwise(word_spans(text, f, most)))
+
+    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for t, fs in zip(texts, lists):
+            low = _even(t) if t and fs is not None else ""
+            found = next((h for f in (fs if low else ()) if f and (h := _hits(t, low, _even(f), most))), [])
+            out.append([{"offset": a, "length": n} for a, n in found])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, _SPANS)(text, forms)
 
 
 def highlight_runs(text: Column, spans: Column) -> Column:

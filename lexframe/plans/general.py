@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.operators import flatten, references
-from lexframe.session import table
+from lexframe.session import stored, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +45,21 @@ def p3_senses(spark: SparkSession, d: str) -> DataFrame:
     return flatten.flat_table(table(spark, d, "raw_entries"), "sense")
 
 
+def p3_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the stored tables hold, and whatever is wrong with them (nothing may be): what, n."""
+    seen = stored(flatten.flatten(table(spark, d, "raw_entries"), ("raw_id", *flatten.LINK), root=True))
+    links = seen.where("parent_id IS NOT NULL").select("parent_id", "step", "ordinal", F.col("node_id").alias("child_id")).distinct()
+    objects = seen.groupBy("node_id").agg(F.countDistinct("kind").alias("kinds"), F.count(F.lit(1)).alias("occurrences"))
+    one = lambda df, what: df.select(F.lit(what).alias("what"), "n")
+    count = F.count(F.lit(1)).alias("n")
+    parts = [
+        one(seen.where("kind = 'entry'").agg(count), "documents"), one(objects.agg(F.sum("occurrences").alias("n")), "occurrences"), one(objects.where("kinds > 1").agg(count), "objects of two kinds"),
+        one(links.join(objects, links["child_id"] == objects["node_id"], "left_anti").agg(count), "links without a child"), one(links.join(objects, links["parent_id"] == objects["node_id"], "left_anti").agg(count), "links without a parent"),
+        one(links.groupBy("parent_id", "step", "ordinal").agg(F.count(F.lit(1)).alias("k")).where("k > 1").agg(count), "places with two children"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _flat(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: flatten.flat_table(table(spark, d, "raw_entries"), kind)
 
@@ -51,7 +67,7 @@ def _flat(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 FLAT_TABLES = {"etymologies": "ety", "translations": "translation", "definitions": "definition", "groups": "group", "examples": "example", "notes": "note"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_links": p3_links, "p3_objects": p3_objects, "p3_senses": p3_senses,
-    "p3_roots": p3_roots, **{f"p3_{name}": _flat(kind) for name, kind in FLAT_TABLES.items()},
+    "p3_roots": p3_roots, "p3_check": p3_check, **{f"p3_{name}": _flat(kind) for name, kind in FLAT_TABLES.items()},
 }
 
 _P2 = """
@@ -90,8 +106,19 @@ nodes AS (
  WHERE json_type(e) = 'OBJECT' AND coalesce(json_type(json_extract(e, '$.Group')), json_type(json_extract(e, '$.Definition')), 'OBJECT') = 'OBJECT')
 """
 
+
+
+def _flat_sql(kind: str) -> str:
+    fields = ", ".join(f"j ->> '$.{c}' AS {c}" for c in flatten.FLAT_FIELDS[kind])
+    return NODES + rf"SELECT raw_id, path, regexp_replace(path, '/?[^/]*$', '') AS parent_path, CAST(regexp_extract(path, '([0-9]+)$', 1) AS INTEGER) AS ordinal, {fields} FROM nodes WHERE kind = '{kind}'"
+
+
 SQL: dict[str, str] = {
+    **{f"p3_{name}": _flat_sql(kind) for name, kind in FLAT_TABLES.items()},
     "p3_found": NODES + "SELECT raw_id, kind, path FROM nodes WHERE kind <> 'entry'",
+    "p3_check": NODES
+    + """SELECT 'documents' AS what, count(*) FILTER (WHERE kind = 'entry') AS n FROM nodes UNION ALL SELECT 'occurrences', count(*) FROM nodes
+UNION ALL SELECT w, 0 FROM (VALUES ('objects of two kinds'), ('links without a child'), ('links without a parent'), ('places with two children')) t(w)""",
     "p3_senses": NODES
     + r"""SELECT raw_id, path, regexp_replace(path, '/[^/]*$', '') AS parent_path, CAST(regexp_extract(path, '([0-9]+)$', 1) AS INTEGER) AS ordinal, j ->> '$.pos' AS pos, j ->> '$.lemma' AS lemma
 FROM nodes WHERE kind = 'sense'""",
