@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexframe.llm import cooccur, frequency, lookalike, mixing, packing, pii, tokens
@@ -56,6 +56,20 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return texts.join(lookalike.changed_texts(texts), "text").select("field", "scope", "canonical", "id", "text").distinct()
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whatever is wrong with the canonical texts (nothing may be): rule, n."""
+    looks = lookalike.Looks(lookalike.confusables(spark))
+    out = stored(lookalike.canonical_texts(_texts(spark, d)).where("text IS NOT NULL").select("text", "canonical").distinct())
+    seen = out.withColumn("a", lookalike.applied("text", looks.look)).withColumn("b", lookalike.applied("canonical", looks.look))
+    count = lambda df, rule: df.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    again = lookalike.changed_texts(out.select(F.lit("f").alias("field"), F.lit("s").alias("scope"), F.lit(0).alias("id"), F.col("canonical").alias("text")))
+    return (
+        count(seen.where("a <> b"), "canonical looks different")
+        .unionByName(count(seen.groupBy("a").agg(F.countDistinct("canonical").alias("k")).where("k > 1"), "one look, two forms"))
+        .unionByName(count(again, "canonical isn't canonical"))
+    )
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their tokens; ``doc_id`` names them, so the result doesn't depend on how the files are split."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "source", "text")
@@ -133,6 +147,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(docs, pii.learn(docs)).select("doc_id", "kind", "start_pos", "end_pos")
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whatever is wrong with the spans and the redacted texts (nothing may be): rule, n."""
+    docs = table(spark, d, "documents").select("doc_id", "text").distinct()
+    names = pii.learn(docs)
+    spans = stored(pii.found(docs, names))
+    cut = spans.groupBy("doc_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("gone"), F.sum(F.length("kind") + 2).alias("put"))
+    by = spans.join(docs, "doc_id")
+    nxt = F.lead("start_pos").over(Window.partitionBy("doc_id").orderBy("start_pos"))
+    both = docs.join(pii.redacted(docs, names).withColumnRenamed("text", "after"), "doc_id").join(cut, "doc_id", "left").na.fill(0, ["gone", "put"])
+    count = lambda df, rule: df.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    return (
+        count(by.where("start_pos < 0 OR end_pos > length(text) OR start_pos >= end_pos"), "outside the text")
+        .unionByName(count(spans.withColumn("next", nxt).where("next < end_pos"), "overlap"))
+        .unionByName(count(both.where("text IS NOT NULL AND length(after) <> length(text) - gone + put"), "more or less replaced"))
+        .unionByName(count(by.where("kind = 'email' AND NOT lower(substring(text, start_pos + 1, end_pos - start_pos)) RLIKE '@|＠|at'"), "email without a sign"))
+    )
+
+
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return pii.redacted(docs, pii.learn(docs))
@@ -140,9 +172,9 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_frequencies": p1_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs,
-    "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_check": p6_check,
+    "p5_found": p5_found, "p5_canonical": p5_canonical, "p5_check": p5_check, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_check": p6_check,
     "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_check": p7_check,
-    "p8_found": p8_found, "p8_redacted": p8_redacted,
+    "p8_found": p8_found, "p8_redacted": p8_redacted, "p8_check": p8_check,
 }
 
 _P1 = """
@@ -172,6 +204,8 @@ SQL: dict[str, str] = {
     # Tokens can't be counted in SQL, so p6 and p7 are held against the rules that any right result keeps.
     "p6_check": """SELECT c.capacity_id, r.rule, CASE WHEN r.rule = 'texts packed' THEN (SELECT count(*) FROM documents WHERE text <> '') ELSE 0 END AS n
 FROM capacities c, (VALUES ('over the capacity'), ('fill not as held'), ('cut without need'), ('texts packed')) r(rule)""",
+    "p5_check": "SELECT * FROM (VALUES ('canonical looks different', 0), ('one look, two forms', 0), ('canonical isn''t canonical', 0)) t(rule, n)",
+    "p8_check": "SELECT * FROM (VALUES ('outside the text', 0), ('overlap', 0), ('more or less replaced', 0), ('email without a sign', 0)) t(rule, n)",
     "p7_check": "SELECT DISTINCT source, CAST(0 AS BIGINT) AS too_often, CAST(0 AS BIGINT) AS \"foreign\", CAST(0 AS BIGINT) AS twice, false AS missed FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0",
     "p4_pairs": _P4 + "SELECT *, round(n_ab * m / (n_a * n_b), 6) AS lift FROM found",
 }
