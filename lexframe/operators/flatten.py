@@ -190,7 +190,7 @@ def flat_table(raw: DataFrame, kind: str) -> DataFrame:
 def stored_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """roots and bridge, written from one reading of the bodies."""
     seen = stored(flatten(raw, ("raw_id", *LINK), root=True))
-    return seen.where("kind = 'entry'").select("raw_id", "node_id"), stored(_links(seen))
+    return seen.where("kind = 'entry'").select("raw_id", "node_id"), stored(_links(seen), "parent_kind")
 
 
 def rebuild(roots_: DataFrame, bridge_: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table and read from there: smaller than a checkpoint, and columns are read singly."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written to the shared folder as a table and read from there: smaller than a checkpoint, and columns are read singly. by: columns of few values to partition it by."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
