@@ -32,20 +32,31 @@ def shared_folder(spark: SparkSession) -> str:
     return at.removeprefix("file:").replace("///", "/") if at.startswith("file:") else at
 
 
-_kept: dict[tuple, object] = {}
+_kept: dict[tuple, tuple] = {}
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at  # noqa: SLF001
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], make: Callable[[], object]) -> object:
-    """What ``make`` gives, made once per application and state of the source tables, as a pack is compiled once and then queried."""
+    """What ``make`` gives, made once per application and state of the source tables, as a pack is compiled once and then queried.
+
+    It is made anew when a source changes or when its files are gone.
+    """
     stamps = []
     for t in sources:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")  # noqa: SLF001
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+        fs, at = _hadoop(spark, f"{sf_dir}/{t}.parquet")
         stamps += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(at)]
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept or _kept[key][0] != stamps:
-        _kept[key] = (stamps, make())
-    return _kept[key][1]
+    if key in _kept:
+        known, value, files = _kept[key]
+        if known == stamps and all(fs.exists(at) for fs, at in (_hadoop(spark, f) for f in files)):
+            return value
+    value = make()
+    _kept[key] = (stamps, value, value.inputFiles()[:1] if isinstance(value, DataFrame) else [value] if isinstance(value, str) else [])
+    return value
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

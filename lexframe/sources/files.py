@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import re
-import tempfile
 import tomllib
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -160,23 +157,23 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 
 def extract_media(assets: DataFrame, folder: str) -> int:
-    """Writes assets (path, bytes) below a shared folder from the executors, each by rename; returns their number."""
-
-    def save(rows: Iterator) -> Iterator[int]:
-        n = 0
-        for r in rows:
-            at = Path(folder) / r["path"]
-            if ".." in at.parts or not re.fullmatch(r"[\w./-]+", r["path"]):
-                raise ValueError(f"unsafe path {r['path']!r}")
-            at.parent.mkdir(parents=True, exist_ok=True)
-            handle, name = tempfile.mkstemp(dir=at.parent)
-            with os.fdopen(handle, "wb") as f:
-                f.write(r["bytes"])
-            os.replace(name, at)
-            n += 1
-        yield n
-
-    return assets.select("path", "bytes").rdd.mapPartitions(save).sum()
+    """Writes assets (path, bytes) below a shared folder of any file system that Arrow knows, from the executors, each by rename; returns their number."""
+    from pyarrow import fs as pafs
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("bytes").to_pylist()):
+                if ".." in path.split("/") or not re.fullmatch(r"[\w.-]+(?:/[\w.-]+)*", path):
+                    raise ValueError(f"unsafe path {path!r}")
+                fs.create_dir(f"{at}/{path}".rpartition("/")[0], recursive=True)
+                part = f"{at}/{path}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(data)
+                fs.move(part, f"{at}/{path}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return assets.select("path", "bytes").mapInArrow(save, "n bigint").agg(F.sum("n")).collect()[0][0] or 0
 
 
 def opened(spark: SparkSession, path: str, mode: str = "auto", table: str = "entries") -> DataFrame:
