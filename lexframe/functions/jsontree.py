@@ -104,10 +104,13 @@ def loads(text: str | None) -> object:
         return None
 
 
+_encoder = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
 def canonical(value: object) -> str:
     """JSON text that is equal for equal values: sorted keys, no spaces, ASCII."""
     try:
-        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        return _encoder.encode(value)
     except RecursionError:
         out: list[str] = []
         stack: list = [(value,)]

@@ -48,6 +48,8 @@ NODE_TYPES = {
     "parent_kind": ("string", pa.string()), "payload": ("string", pa.string()),
 }
 
+_ORDER = list(NODE_TYPES)  # of the values of a node in _scan
+
 
 def _unwrapped(element: object) -> tuple[str, dict] | None:
     """Kind and object of an element of ``definitions``; None if it is no node."""
@@ -123,20 +125,17 @@ def _scan(columns: list[str], rows_per_batch: int = 20_000):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[str, list] = {c: [] for c in columns}
+        places = [_ORDER.index(c) for c in columns]
         for batch in batches:
             for raw_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root = loads(body)
                 if not isinstance(root, dict):
                     continue
                 found = nodes(root)
-                for kind, path, parent, step, n, digest, payload in found:
-                    row = {
-                        "raw_id": raw_id, "kind": kind, "path": path, "parent_path": found[parent][1] if parent >= 0 else None, "step": step,
-                        "ordinal": n, "node_id": digest, "parent_id": found[parent][5] if parent >= 0 else None,
-                        "parent_kind": found[parent][0] if parent >= 0 else None, "payload": payload,
-                    }
-                    for c in columns:
-                        acc[c].append(row[c])
+                top = (None, None, None, None, None, None)
+                rows = [(raw_id, kind, path, up[1], step, n, digest, up[5], up[0], payload) for kind, path, parent, step, n, digest, payload in found for up in (found[parent] if parent >= 0 else top,)]
+                for held, i in zip(acc.values(), places):
+                    held += [r[i] for r in rows]
                 if len(acc[columns[0]]) >= rows_per_batch:
                     yield flush(acc)
                     acc = {c: [] for c in columns}
