@@ -129,14 +129,16 @@ def p7_check(spark: SparkSession, d: str) -> DataFrame:
     Documents repeated more often than allowed; chosen ones that are of another source; chosen twice; and whether a source
     that could give its share misses it by more than its longest document.
     """
-    planned, chosen = _mix(spark, d)
+    sizes = _sizes(spark, d)
+    planned = mixing.plan(sizes, table(spark, d, "mix_targets")).join(sizes.groupBy("source").agg(F.max("tokens").alias("longest")), "source", "left")
+    chosen = mixing.mixed(sizes, planned, sizes.count())
     chosen, docs = stored(chosen), table(spark, d, "documents").select("doc_id", F.col("source").alias("own"))
-    joined = chosen.join(docs, chosen["row_id"] == docs["doc_id"]).join(planned.select("source", "max_repeats", "copies", "total", "share"), "source", "right")
+    joined = chosen.join(docs, chosen["row_id"] == docs["doc_id"]).join(planned.select("source", "max_repeats", "copies", "total", "share", "longest"), "source", "right")
     by = joined.groupBy("source").agg(
         F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"),
         F.count_if(F.col("own") != F.col("source")).alias("foreign"),
         (F.count("row_id") - F.countDistinct("row_id")).alias("twice"),
-        F.coalesce(F.sum(F.col("tokens") * F.col("repeats")), F.lit(0)).alias("used"), F.coalesce(F.max("tokens"), F.lit(0)).alias("longest"),
+        F.coalesce(F.sum(F.col("tokens") * F.col("repeats")), F.lit(0)).alias("used"), F.coalesce(F.max("longest"), F.lit(0)).alias("longest"),
         F.max("copies").alias("copies"), F.max("max_repeats").alias("most"), F.max(F.col("total") * F.col("share")).alias("wanted"),
     )
     return by.select("source", "too_often", "foreign", "twice", ((F.col("copies") < F.col("most")) & (F.abs(F.col("used") - F.col("wanted")) > F.col("longest") + 1)).alias("missed"))
