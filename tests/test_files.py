@@ -31,9 +31,9 @@ def test_pages(spark):
 
 def test_modes_media_and_dump(spark, tmp_path):
     docs = spark.createDataFrame([(0, "a", json.dumps({"etymologies": [{"root": "r", "senses": [{"pos": "NOUN", "definitions": [{"Definition": {"value": "d"}}]}]}]}))], "ord bigint, headword string, body string")
-    media = spark.createDataFrame([("audio", "mp3", "audio/mpeg", "zstd", b"DATA")], "kind string, ext string, mime string, compression string, bytes binary")
+    media = spark.createDataFrame([(0, "audio", "mp3", "audio/mpeg", "zstd", b"DATA")], "ord bigint, kind string, ext string, mime string, compression string, bytes binary")
     path = str(tmp_path / "p")
-    pack.write_pack(docs, path, {"id": "x"}, media)
+    pack.write_pack(docs, path, {"id": "x", "name": "n", "source_lang": "en"}, media)
     eager, lazy = files.opened(spark, path), files.opened(spark, path, "lazy")
     assert eager.collect() == lazy.collect() and eager.is_cached and not lazy.is_cached
     assert [r["line"] for r in files.dump(lazy).orderBy("n").collect()] == ["a", "  ety: r", "    sense: NOUN", "      definition: d"]
