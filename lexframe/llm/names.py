@@ -16,14 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.session import stored
 
-SAMPLE = 20_000  # documents that the names are learnt from, about
-WORDS = 65_536  # learnt words of each sort at most
-
 # Common given names, of public statistics of births; surnames common in Chinese and Japanese.
 COMMON_GIVEN = (
     "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon "
@@ -123,40 +120,58 @@ def _lead(text: str, a: int) -> tuple[int, int]:
             return start, a
 
 
+_judgements: dict[int, tuple[Names, dict]] = {}
+
+
+def _judged(names: Names) -> dict:
+    """What ``_judge`` said of words so far; forgotten now and then."""
+    held = _judgements.get(id(names))
+    if held is None or held[0] is not names or len(held[1]) > 100_000:
+        if len(_judgements) > 8:
+            _judgements.clear()
+        held = _judgements[id(names)] = (names, {})
+    return held[1]
+
+
+def _judge(w: str, names: Names) -> tuple[str, float, float]:
+    """The role that a word may have (I only before a full stop), its weights as a given and as a family name."""
+    low = w.lower()
+    g, f = _weight(names.given, low), _weight(names.family, low)
+    if len(w) == 1:
+        return "I", g, f
+    if low in PARTICLES and (not w[0].isupper() or w.isupper()):
+        return "P", g, f
+    return "N" if g or f or w[0].isupper() and low not in PLAIN and low not in names.plain else "", g, f
+
+
 class Tokens:
     """The words of a text that may be part of a name: those with a capital, known ones in any case, and particles between."""
 
     def __init__(self, text: str, names: Names, low_hits: list[tuple[int, int]], blocked: list[tuple[int, int]] = ()) -> None:
         self.text = text
-        found = {m.start(): (m.start(), m.end(), m[0]) for m in _CAP.finditer(text)}
-        for a, b in low_hits:
-            if a not in found:
-                found[a] = (a, b, text[a:b])
-        for a in [*found]:  # initials in lower case before a known name
-            if text[a - 1 : a] != "." and text[a - 2 : a - 1] != ".":
-                continue
-            for m in _INITIALS.finditer(text, *_lead(text, a)):
-                found.setdefault(m.start(), (m.start(), m.start() + 1, m[0][0]))
-        self.all, self.roles, self.given, self.family = [], [], [], []
-        given, family, plain = names.given, names.family, names.plain
-        for a in sorted(found):
-            a, b, w = found[a]
-            if blocked and any(x < b and a < y for x, y in blocked):
-                continue
-            low = w.lower()
-            g, f = given.get(low, 0.0), family.get(low, 0.0)
-            if not low.isalpha():
-                g, f = _weight(given, low), _weight(family, low)
-            if len(w) == 1:
-                role = "I" if text[b : b + 1] == "." else ""
-            elif low in PARTICLES and (not w[0].isupper() or w.isupper()):
-                role = "P"
-            elif g or f or w[0].isupper() and low not in PLAIN and low not in plain:
-                role = "N"
-            else:
-                role = ""
-            self.all.append((a, b, w))
-            self.roles.append(role)
+        found = [(m.start(), m.end(), m[0]) for m in _CAP.finditer(text)]
+        more = {}
+        if low_hits:
+            caps = {a for a, _, _ in found}
+            more = {a: (a, b, text[a:b]) for a, b in low_hits if a not in caps}
+        for a in [*(x[0] for x in found), *more]:  # initials in lower case before a known name
+            dot = a - 1 if a > 1 and text[a - 1] == "." else a - 2 if a > 2 and text[a - 2] == "." and text[a - 1] in " \xa0" else 0
+            if dot and text[dot - 1].isalpha() and (dot == 1 or not text[dot - 2].isalnum()):
+                for m in _INITIALS.finditer(text, *_lead(text, a)):
+                    more.setdefault(m.start(), (m.start(), m.start() + 1, m[0][0]))
+        if more:
+            found = sorted({**more, **{x[0]: x for x in found}}.values())
+        if blocked:
+            first, last = min(blocked)[0], max(y for _, y in blocked)
+            found = [t for t in found if t[1] <= first or t[0] >= last or not any(x < t[1] and t[0] < y for x, y in blocked)]
+        judged = _judged(names)
+        self.all, self.roles, self.given, self.family = found, [], [], []
+        for _, b, w in found:
+            seen = judged.get(w)
+            if seen is None:
+                seen = judged[w] = _judge(w, names)
+            role, g, f = seen
+            self.roles.append(role if role != "I" or text[b : b + 1] == "." else "")
             self.given.append(g)
             self.family.append(f)
 
@@ -263,7 +278,9 @@ def spans(text: str, t: Tokens, before: dict[int, tuple[float, bool, bool]], aft
             start, end = t.all[first][0], t.all[last][1]
             if t.role(last) == "I":
                 end += 1
-            behind = max(after.get(end, 0.0), 0.4 * any(text.startswith(gap, end) and end + len(gap) in streets for gap in (", ", " at ")))
+            behind = after.get(end, 0.0)
+            if streets and any(text.startswith(gap, end) and end + len(gap) in streets for gap in (", ", " at ")):
+                behind = max(behind, 0.4)
             head = parts[0][0]
             if t.role(first) == "P":  # a particle, or the preposition of the sentence
                 if t.given[head] > t.family[head] or not (start in before or t.opens(first) or not text[start - 1].isspace() or text[start - 2 : start - 1] in ",;:|/" or _cue(t, i, before)[0] > 0):
@@ -339,27 +356,63 @@ def han_spans(text: str, names: Names, hits: list[tuple[int, int]]) -> list[tupl
 
 
 _SHAPE = Names(given={}, han_family=frozenset())
+_CLOSED = re.compile(r"[ \n][a-zß-öø-ÿа-яё]")
+
+
+def places(texts: list[str]) -> Counter:
+    """How often words stand with a capital (c) and in lower case (l) in texts that have capitals: (sort, word) with a count.
+
+    No word goes across a space, so what stands between spaces is counted first and each such piece is read once.
+    """
+    pieces: Counter = Counter()
+    for text in texts:
+        if not text.islower():
+            pieces.update(text.split())
+    out: Counter = Counter()
+    for piece, n in pieces.items():
+        for w in _LOW.findall(piece):
+            out["l", w] += n
+        if piece.islower():
+            continue
+        for w in _CAP.findall(piece):
+            low = w.lower()
+            if len(w) > 1 and w[0].isupper() and low not in PLAIN and not (low in PARTICLES and w.isupper()):
+                for x in _HYPHEN.split(low):
+                    if len(x) > 1:
+                        out["c", x] += n
+    return out
+
+
+def _told(text: str, before: dict, after: dict) -> bool:
+    """Whether a capital may stand beside a cue."""
+    for p in before:
+        if text[p : p + 1].isupper() or text[p + 1 : p + 2].isupper():
+            return True
+    for p in after:
+        piece = text[max(0, p - 40) : p].split()
+        if piece and (len(piece[-1]) == 40 or not piece[-1].islower()):
+            return True
+    return False
 
 
 def evidence(text: str, cues) -> Counter:  # noqa: ANN001
-    """What one text says of names: (sort, word) with a count.
+    """What the cues of one text say of names: (sort, word) with a count.
 
-    Sorts: g, f: a given or family name of a full name beside a cue; 1: one name alone after a cue; c: with a capital,
-    wherever it stands; h: a Han name between boundaries; s: family and given name of one, with the space between.
+    Sorts: g, f: a given or family name of a full name beside a cue; 1: one name alone after a cue;
+    h: a Han name between boundaries; s: family and given name of one, with the space between.
     """
     out: Counter = Counter()
     before, after, _, low, _ = cues(text, None)
-    if text != low:
+    if text != low and _told(text, before, after):
         t = Tokens(text, _SHAPE, [])
-        for i, (a, b, w) in enumerate(t.all):
-            if t.roles[i] != "N":
+        n = len(t.all)
+        for i, (a, _, w) in enumerate(t.all):
+            if t.roles[i] != "N" or not (a in before or a - 1 in before or i + 1 < n and t.all[i + 1][1] in after):
                 continue
-            for x in _HYPHEN.split(w.lower()):
-                out["c", x] += len(x) > 1
             cue = _cue(t, i, before)
             for form, _, last, parts in t.readings(i):
                 end = t.all[last][1]
-                closing = cue[2] and form == "full" and re.compile(r"[ \n][a-zß-öø-ÿа-яё]").match(text, end)
+                closing = cue[2] and form == "full" and _CLOSED.match(text, end)
                 if closing or form == "turned" or not (cue[0] >= 0.4 or form == "full" and not t.opens(i) and last == i + 1 and after.get(end, 0) >= 0.4):
                     continue
                 if form == "one":
@@ -381,73 +434,76 @@ def evidence(text: str, cues) -> Counter:  # noqa: ANN001
     return out
 
 
-def learn(docs: DataFrame, cues, common: Names = Names(), sample: int = SAMPLE, words: int = WORDS) -> Names:  # noqa: ANN001, B008
-    """The names that a collection teaches, added to ``common``.
+def learn(docs: DataFrame, cues, common: Names = Names(), sample: int | None = None) -> Names:  # noqa: ANN001, B008
+    """The names that a collection teaches, added to ``common``, for use on its documents: every one of them is read and every count kept.
 
-    Fitted on about ``sample`` documents, drawn by a hash of their text, and bounded by ``words`` words of each sort, so that
-    it may go along with each task. Counts are added up before they move. Without documents it is ``common``.
+    Counts are added up, weighed and compared where they are; the driver gets the names alone. Plain words are those that
+    the collection has with a capital too, as nothing asks for others. Without documents it is ``common``.
+    sample: fitted on about so many documents only, drawn by a hash of their text. No query asks for that.
     """
-    n = docs.count()
     own = docs.select("text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    if n > sample:
+    if sample is not None and (n := docs.count()) > sample:
         own = own.where(F.pmod(F.xxhash64("text"), F.lit(-(-n // sample))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: Counter = Counter()
-            low: Counter = Counter()
-            for text in batch.column(0).to_pylist():
+            texts = batch.column(0).to_pylist()
+            total = places(texts)
+            for text in texts:
                 total.update(evidence(text, cues))
-                if not text.islower():
-                    low.update(_LOW.findall(text))
-            total.update({("l", w): n for w, n in low.items()})
             keys = list(total)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(total.values()), pa.int64())], names=["sort", "word", "n"])
 
     by = own.mapInArrow(run, "sort string, word string, n bigint").groupBy("word").agg(*[F.sum(F.when(F.col("sort") == s, F.col("n")).otherwise(0)).alias(f"n_{s}") for s in "gf1clhs"])
     by = stored(by)
-    told = F.col("n_g") + F.col("n_f") + F.col("n_1")
-    stats = by.where((told >= 2) | (F.col("n_h") >= 1) | (F.col("n_s") >= 1)).orderBy((told + F.col("n_h") + F.col("n_s")).desc(), "word").limit(3 * words).collect()
-    lower = by.where((F.col("n_l") >= 2) & (F.col("n_l") > 4 * told)).orderBy(F.col("n_l").desc(), "word").limit(words).collect()
-    return taught(stats, {r["word"] for r in lower}, common)
+    known, spaced = weighed(by).collect(), by.where("n_s > 0").select("word").collect()
+    return taught(known, spaced, parted(by.where("n_h > 0")).collect(), common)
+
 
+def weighed(by: DataFrame) -> DataFrame:
+    """word, given, family, plain of the words that are one of these: weights from counts.
 
-def taught(stats: list, plain: set, common: Names) -> Names:
-    """Weights from counts: a word that stands beside cues in a good part of its places is a name, in a small part one that may also be something else."""
+    A word that stands beside cues in a good part of its places is a name, in a small part one that may also be something else.
+    """
+    told = F.col("n_g") + F.col("n_f") + F.col("n_1")
+    share, plainly = told / F.greatest("n_c", told), F.col("n_l") / (F.col("n_l") + F.col("n_c") + told)
+    weight = F.when(F.col("word").isin(*WORD_NAMES), 0.3).when((share >= 0.15) & (plainly <= 0.2) & (told >= 3), 0.6).when(share >= 0.02, 0.3).otherwise(0.0)
+    weight = F.when((told >= 2) & ~F.col("word").isin(*PARTICLES, *(PLAIN - WORD_NAMES)), weight).otherwise(0.0)
+    g, f = F.col("n_g"), F.col("n_f")
+    return by.select(
+        "word",
+        F.when(((g > 0) | (f == 0)) & (g * 4 >= f), weight).otherwise(0.0).alias("given"),
+        F.when(((f > 0) | (g == 0)) & (f * 4 >= g), weight).otherwise(0.0).alias("family"),
+        ((F.col("n_l") >= 2) & (F.col("n_l") > 4 * told) & (F.col("n_c") > 0)).alias("plain"),
+    ).where("given > 0 OR family > 0 OR plain")
+
+
+def parted(whole: DataFrame) -> DataFrame:
+    """first, n, good, next: what may be the family names of Han names, how many rests follow each, which of these follow others too, and how they begin."""
+    parts = whole.select("word", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).where("length(word) - k BETWEEN 1 AND 3")
+    parts = parts.selectExpr("substring(word, 1, k) AS first", "substring(word, k + 1) AS rest")
+    parts = parts.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("rest")) >= 2)
+    return parts.groupBy("first").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("often"), F.col("rest"))).alias("good"), F.collect_set(F.substring("rest", 1, 1)).alias("next")
+    ).where("n >= 3")
+
+
+def taught(known: list, spaced: list, parts: list, common: Names) -> Names:
+    """The rows of ``weighed``, Han names written with a space, and the rows of ``parted``, added to ``common``."""
     given, family = dict(common.given), dict(common.family)
-    for r in stats:
-        w, told = r["word"], r["n_g"] + r["n_f"] + r["n_1"]
-        if told < 2 or w in PARTICLES or w in PLAIN and w not in WORD_NAMES:
-            continue
-        share = told / max(r["n_c"], told)
-        plainly = r["n_l"] / (r["n_l"] + r["n_c"] + told)
-        weight = 0.3 if w in WORD_NAMES else 0.6 if share >= 0.15 and plainly <= 0.2 and told >= 3 else 0.3 if share >= 0.02 else 0.0
-        if not weight:
-            continue
-        g, f = r["n_g"], r["n_f"]
-        if g or not f:
-            given[w] = max(given.get(w, 0), weight if g * 4 >= f else 0)
-        if f or not g:
-            family[w] = max(family.get(w, 0), weight if f * 4 >= g else 0)
+    for r in known:
+        for words, weight in ((given, r["given"]), (family, r["family"])):
+            if weight:
+                words[r["word"]] = max(words.get(r["word"], 0), weight)
     heads, tails = set(common.han_family), set(common.han_given)
-    whole = {r["word"] for r in stats if r["n_h"]}
-    for r in stats:
-        if r["n_s"]:
-            f, _, g = r["word"].partition("|")
-            heads.add(f)
-            tails.add(g)
-    starts: dict[str, set] = {}
-    ends: dict[str, set] = {}
-    for w in whole:
-        for k in (1, 2):
-            if len(w) - k >= 1 and len(w) - k <= 3:
-                starts.setdefault(w[:k], set()).add(w[k:])
-                ends.setdefault(w[k:], set()).add(w[:k])
-    for f, gs in starts.items():
-        good = {g for g in gs if len(ends[g]) >= 2}
-        if len(good) >= 3 and not any(len(starts.get(f + c, ())) >= len(gs) for c in {g[0] for g in gs}):
-            heads.add(f)
-            tails |= good
-    given = {w: x for w, x in given.items() if x}
-    family = {w: x for w, x in family.items() if x}
+    for r in spaced:
+        f, _, g = r["word"].partition("|")
+        heads.add(f)
+        tails.add(g)
+    size = {r["first"]: r["n"] for r in parts}
+    for r in parts:
+        if len(r["good"]) >= 3 and not any(size.get(r["first"] + c, 0) >= r["n"] for c in r["next"]):
+            heads.add(r["first"])
+            tails |= set(r["good"])
+    plain = {r["word"] for r in known if r["plain"]}
     return Names(given, family, frozenset(plain - set(given) - set(family)), frozenset(heads), frozenset(tails))

@@ -82,7 +82,7 @@ _ADDRESS = [
     for p in (
         rf"\d(?<![A-Za-z0-9.].)\d*(?:[-–]\d+)?[a-z]?,?{_WS}+(?:[^\W\d_]+{_WS}+){{1,3}}?(?:street|st|road|rd\.|rd|lane|close|terrace|hill|row|avenue|ave)(?![A-Za-zÀ-ɏ0-9])(?:,{_WS}(?:apt|flat|unit){_WS}\d+[a-z]?)?",
         rf"(?:straße|strasse|str\.|weg|gasse|platz|allee){_WS}\d+(?:[-–]\d+)?(?:{_WS}?[a-z](?![^\W_]))?",
-        rf"(?<![^\W_])(?:am|an der|im|zum){_WS}[^\W\d_]+{_WS}\d+(?:{_WS}?[a-z](?![^\W_]))?(?![\d-])",
+        rf"(?-i:[aizAIZİı])(?<![^\W_].)(?:(?<=[ai])m|(?<=a)n der|(?<=z)um){_WS}[^\W\d_]+{_WS}\d+(?:{_WS}?[a-z](?![^\W_]))?(?![\d-])",
         rf"\d(?<![A-Za-z0-9.].)\d*(?:[-–]\d+)?[a-z]?(?:{_WS}(?:bis|ter|quater))?,?{_WS}(?:rue|avenue|av\.|boulevard|bd|chemin|place|impasse|allée|quai){_WS}(?:(?:de la|des|du|de|le|la){_WS}|[dl]['’])*[^\W\d_]+(?:[-'’][^\W\d_]+)*",
         rf"(?<![^\W_])(?:c/|calle|avda\.?|avenida|plaza|paseo){_WS}(?:(?:de la|del|de){_WS})?[^\W\d_]+,?{_WS}(?:(?:nº|n\.º|núm\.){_WS}?)?\d+[a-z]?(?:,{_WS}\d+º(?:{_WS}[^\W\d_](?![^\W_]))?)?",
         rf"(?<![^\W_])(?:ул\.|улица|пер\.|переулок|просп\.|проспект|наб\.|бульвар){_WS}[^\W\d_]+,{_WS}(?:(?:д\.|дом){_WS})?\d+[а-я]?(?:,{_WS}(?:корп\.|стр\.){_WS}?\d+)?(?:,{_WS}кв\.{_WS}?\d+)?",
@@ -99,7 +99,7 @@ _NO_ADDRESS = re.compile(
 )
 # What must stand in a text (in lower case) for each of the forms above to be looked for.
 _STREET_WORDS = (
-    ("street", "st", "road", "rd", "lane", "close", "terrace", "hill", "row", "ave"), ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee"), ("am ", "an der ", "im ", "zum ", "am\xa0", "im\xa0", "zum\xa0"),
+    ("st", "rd", "road", "lane", "close", "terrace", "hill", "row", "ave"), ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee"), ("am ", "an der ", "im ", "zum ", "am\xa0", "im\xa0", "zum\xa0"),
     ("rue", "avenue", "av.", "boulevard", "bd", "chemin", "place", "impasse", "allée", "quai"), ("c/", "calle", "avda", "avenida", "plaza", "paseo"), ("ул.", "улица", "пер.", "переулок", "просп", "наб.", "бульвар"), ("市", "区", "町", "村", "郡"), ("号",),
 )
 _DOT = r"\s?[\[(](?:dot|DOT|Dot)[\])]\s?|\s(?:dot|DOT|Dot)\s"
@@ -335,7 +335,10 @@ def _emails(text: str, low: str, spans: list[tuple[float, int, int, str]]) -> No
 
 def _addresses(text: str, low: str, spans: list[tuple[float, int, int, str]]) -> None:
     for pattern, words in zip(_ADDRESS, _STREET_WORDS):
-        if not any(w in low for w in words):
+        for word in words:
+            if word in low:
+                break
+        else:
             continue
         for m in pattern.finditer(text):
             start, end = m.span()
@@ -389,9 +392,9 @@ def find_spans(text: str | None, names: Names = Names()) -> list[tuple[int, int,
     return out
 
 
-def learn(docs: DataFrame, common: Names = Names(), **bounds: int) -> Names:  # noqa: B008
+def learn(docs: DataFrame, common: Names = Names(), sample: int | None = None) -> Names:  # noqa: B008
     """The names that a collection teaches (see ``names.learn``), to be given to ``found`` and ``redacted``."""
-    return nm.learn(docs, cues, common, **bounds)
+    return nm.learn(docs, cues, common, sample)
 
 
 def redact(text: str | None, names: Names = Names()) -> str | None:  # noqa: B008

@@ -164,6 +164,29 @@ def test_what_a_collection_teaches(spark):
     assert pii.learn(docs, sample=7) is not None
 
 
+def test_names_are_learnt_from_every_document(spark):
+    # Three places among 40,003 documents (a part of 20,000 held some of them only), and none of the plain words is left out.
+    told = ["Dear Zorva Quimblet, thanks.", "signed by Zorva Quimblet and more", "agree with Zorva Quimblet about it"]
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('card ', id) AS text").union(spark.createDataFrame([(40_000 + i, t) for i, t in enumerate(told)], "doc_id bigint, text string"))
+    names = pii.learn(docs)
+    assert names.given.get("zorva") == 0.6 == names.family.get("quimblet")
+    text = "i met zorva quimblet there"
+    assert [r["end_pos"] for r in pii.found(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), names).collect()] == [20]
+    words = ["".join(chr(97 + n // 26**k % 26) for k in (3, 2, 1, 0)) for n in range(70_000)]
+    names = pii.learn(spark.createDataFrame([(1, " ".join([*words, "zzplain"] * 2) + " Zzplain")], "doc_id bigint, text string"))
+    assert names.plain == {"zzplain"}
+
+
+def test_counts_of_words_are_those_of_the_tokens():
+    lines = ["Dear Anna-Lena O'Rose, VAN der Berg and Van.", "the Cards, cards (Cards) an_Old X3Roses", "all lower", "İzmir Ärger ÄRGER Это Weg\u00a0Weg", "A. Rose"]
+    both, each = nm.places(lines), nm.Counter()
+    for line in lines:
+        t = nm.Tokens(line, nm.Names(given={}), [])
+        each.update(("c", x) for (_, _, w), role in zip(t.all, t.roles) if role == "N" for x in nm._HYPHEN.split(w.lower()) if len(x) > 1)
+        each.update(("l", w) for w in nm._LOW.findall(line) if not line.islower())
+    assert both == each and both["c", "cards"] == 2 and both["l", "cards"] == 1
+
+
 def test_long_local_parts_and_streets():
     local, street = "x" * 300 + ".y", "Q" + "u" * 300
     assert found(f"write {local}@post.example now") == [(f"{local}@post.example", "email")]
