@@ -12,9 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -87,6 +88,22 @@ def manifest(z: zipfile.ZipFile, who: Identity) -> tuple[dict, str]:
     return m, text
 
 
+def places(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> Callable[[int, int], bytes]:
+    """Reads n bytes at a place of a stored member, wherever the file stands.
+
+    The members that ``zipfile`` opens can't do it: some of its versions seek forward from where the last read of any member ended.
+    """
+    z.open(info).close()  # checks the header before the member
+    z.fp.seek(info.header_offset + 26)
+    start = info.header_offset + 30 + sum(struct.unpack("<HH", z.fp.read(4)))  # after its name and extra field
+
+    def read(at: int, n: int) -> bytes:
+        z.fp.seek(start + at)
+        return z.fp.read(max(0, min(n, info.compress_size - at)))
+
+    return read
+
+
 class Pack:
     """One file of a pack, open: manifest, headword index and, when asked, pools; their counts are checked against each other."""
 
@@ -94,13 +111,7 @@ class Pack:
         self.who, self.zip = who, open_zip(path, who)
         self.manifest, self.text = manifest(self.zip, who)
         info = self.zip.getinfo("index/headword.idx")
-        member = self.zip.open(info)
-
-        def read(at: int, n: int) -> bytes:
-            member.seek(at)
-            return member.read(n)
-
-        self.heads = codec.Heads(read, info.file_size, who)
+        self.heads = codec.Heads(places(self.zip, info), info.file_size, who)
         m = self.manifest
         if self.heads.entries != m["index"]["entry_count"] or self.heads.data_blocks != m["data"]["block_count"] or self.heads.groups != m["index"]["block_count"]:
             raise Malformed("the counts of manifest and index differ")

@@ -124,6 +124,23 @@ def test_an_empty_pack(spark, tmp_path):
     assert spark.read.format("lexpack").load(path).where("headword = 'a'").count() == 0
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A pack in two files whose indexes of headwords are longer than what is read of them at a time."""
+    path = str(tmp_path_factory.mktemp("many") / "m.pack")
+    pack.write_pack(spark.range(6000).selectExpr("id AS ord", "concat(sha1(cast(id AS string)), '/', id) AS headword", """concat('{"see":"', id, '"}') AS body"""), path, META, shards=2)
+    pack.register(spark)
+    return path
+
+
+def test_a_headword_is_found_far_into_a_large_index(spark, many):
+    heads = {r["headword"]: r["ordinal"] for r in spark.read.format("lexpack").option("table", "heads").load(many).collect()}
+    assert len(heads) == 6000
+    for word in sorted(heads)[5::997]:
+        rows = spark.read.format("lexpack").load(many).where(f"headword = '{word}'").collect()
+        assert [(r["ordinal"], json.loads(r["body"])["see"]) for r in rows] == [(heads[word], word.split("/")[1])]
+
+
 def nested(depth):
     group = {"id": None, "description": None, "definitions": [{"Definition": {"value": "d", "id": None, "examples": [], "notes": [], "media": []}}]}
     for _ in range(depth):
