@@ -702,16 +702,18 @@ def documents_of(spark: SparkSession, d: str) -> DataFrame:
     Headwords lead with their pack, to be unique; relations are sanitized; parts of speech outside the universal ones are absent.
     """
     h = heads(spark, d).select("entry_id", F.concat_ws("/", "pack_id", "headword").alias("headword"), "see", F.col("entry_id").alias("ord"))
-    only = lambda name, *cols: once(spark, d, name).select("entry_id", *cols).distinct()
-    tags = only("entry_tags", "ord", "tag").where("tag IS NOT NULL").groupBy("entry_id").agg(nest.ordered("ord", "tag").alias("t"))
-    morph = only("morphology", "ord", "kind", "term").groupBy("entry_id").agg(nest.ordered("ord", "kind", F.coalesce("term", F.lit("")).alias("term")).alias("m"))
+    keys = ["entry_id", "ety_ord", "sense_ord"]
+    # Each table moves once, by its keys: what is then made distinct, grouped and joined lies together.
+    only = lambda name, by, *cols: table(spark, d, name).select(*by, *cols).repartition(*by).distinct()
+    tags = only("entry_tags", ["entry_id"], "ord", "tag").where("tag IS NOT NULL").groupBy("entry_id").agg(nest.ordered("ord", "tag").alias("t"))
+    morph = only("morphology", ["entry_id"], "ord", "kind", "term").groupBy("entry_id").agg(nest.ordered("ord", "kind", F.coalesce("term", F.lit("")).alias("term")).alias("m"))
     sane = graph.sanitized(edges(spark, d), heads(spark, d), hot_targets(spark, d))
     rel = sane.groupBy(F.concat_ws("/", "pack_id", "src").alias("headword")).agg(nest.ordered("ord", "type", F.concat_ws("/", "pack_id", "dst").alias("target")).alias("r"))
-    keys = ["entry_id", "ety_ord", "sense_ord"]
-    forms = once(spark, d, "forms").groupBy(*keys).agg(nest.ordered("ord", "form_id", "kind", F.coalesce("term", F.lit("")).alias("term"), "tags", "feats").alias("forms"))
-    senses = once(spark, d, "senses").withColumn("pos", F.when(F.col("pos").isin(*T.UPOS), F.col("pos"))).join(forms, keys, "left")
-    etys = senses.groupBy("entry_id", "ety_ord").agg(nest.ordered("sense_ord", "pos", "lemma", "tags", "forms").alias("senses")).groupBy("entry_id").agg(nest.ordered("ety_ord", "senses").alias("etymologies"))
-    j = h.join(tags, "entry_id", "left").join(morph, "entry_id", "left").join(etys, "entry_id", "left").join(rel, "headword", "left")
+    forms = only("forms", keys, "form_id", "ord", "kind", "term", "tags", "feats")
+    forms = forms.groupBy(*keys).agg(nest.ordered("ord", "form_id", "kind", F.coalesce("term", F.lit("")).alias("term"), "tags", "feats").alias("forms"))
+    senses = only("senses", keys, "pos", "lemma", "tags").withColumn("pos", F.when(F.col("pos").isin(*T.UPOS), F.col("pos"))).join(forms, keys, "left")
+    etys = senses.repartition("entry_id").groupBy("entry_id", "ety_ord").agg(nest.ordered("sense_ord", "pos", "lemma", "tags", "forms").alias("senses")).groupBy("entry_id").agg(nest.ordered("ety_ord", "senses").alias("etymologies"))
+    j = h.join(rel, "headword", "left").join(tags, "entry_id", "left").join(morph, "entry_id", "left").join(etys, "entry_id", "left")
     body = F.to_json(F.struct("see", F.transform("t", lambda x: x["tag"]).alias("tags"), F.col("m").alias("morphology"), F.col("r").alias("relations"), "etymologies"))
     return j.select("ord", "headword", body.alias("body"))
 

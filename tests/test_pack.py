@@ -141,6 +141,24 @@ def test_a_headword_is_found_far_into_a_large_index(spark, many):
         assert [(r["ordinal"], json.loads(r["body"])["see"]) for r in rows] == [(heads[word], word.split("/")[1])]
 
 
+def test_entries_of_a_large_index_come_back(spark, many):
+    rows = spark.read.format("lexpack").option("groupsPerTask", "5").load(many).select("ordinal", "headword", "status", "body").collect()
+    assert sorted(r["ordinal"] for r in rows) == list(range(6000)) and {r["status"] for r in rows} == {"decoded"}
+    assert sorted(r["headword"] for r in rows) == [r["headword"] for r in sorted(rows, key=lambda r: r["ordinal"])]
+    assert all(json.loads(r["body"])["see"] == r["headword"].split("/")[1] for r in rows)
+
+
+@pytest.mark.parametrize("mode", ["auto", "eager", "lazy"])
+def test_a_large_index_is_read_in_every_mode(spark, tmp_path, mode):
+    from lexframe.sources import files
+
+    path = str(tmp_path / "l.pack")
+    pack.write_pack(spark.range(12_000).selectExpr("id AS ord", "concat(sha1(cast(id AS string)), '/', id) AS headword", "'{}' AS body"), path, META, shards=1)
+    rows = files.opened(spark, path, mode)
+    assert rows.selectExpr("count(*)", "sum(ordinal)", "count(DISTINCT headword)").first() == (12_000, 12_000 * 11_999 // 2, 12_000)
+    rows.unpersist()
+
+
 def nested(depth):
     group = {"id": None, "description": None, "definitions": [{"Definition": {"value": "d", "id": None, "examples": [], "notes": [], "media": []}}]}
     for _ in range(depth):
